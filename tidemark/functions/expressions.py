@@ -97,7 +97,7 @@ def evaluate(expr: object, scope: Mapping[Var, Val], predicates: Predicates) ->
     if op in _TESTS:
         return Val("bool", is_kind(args[0], _TESTS[op]))
     if op in predicates:
-        return Val("bool", predicates[op](args[0]))
+        return Val("bool", predicates[op](args[0].col))
     raise DatalogError(f"unknown predicate {op!r}")
 
 

@@ -235,15 +235,9 @@ def _iterate(context: Context, rules: dict, start: dict[str, list[Frame]], recur
     total: dict[str, DataFrame] = {}
     only = next(iter(rules)) if len(rules) == 1 and closure_of(next(iter(rules.values()))) else None
     for name, frames in start.items():
+        if not frames:
+            continue
         filtered = frames if only else [_filtered(f, allowed[name]) for f in frames]
-        if not filtered:
-            arity = len(rules[name][0].head)
-            if not general:
-                return _iterate(context, rules, start, recursive, allowed, most, True)
-            from .clauses import _one_row
-
-            empty = Frame.of(_one_row(context).where(F.lit(False)), {v: Val("any", boxed(Val("int", F.lit(0).cast("long")))) for v in (X, Y)[:arity]})
-            filtered = [empty]
         if general:
             filtered = [Frame.of(f.df, {v: as_any(x) for v, x in f.scope.items()}) for f in filtered]
         kinds[name], parts = _unified(filtered)
@@ -251,6 +245,21 @@ def _iterate(context: Context, rules: dict, start: dict[str, list[Frame]], recur
         for p in parts[1:]:
             df = df.union(p)
         total[name] = written(df.distinct(), "derived")
+    while missing := [n for n in rules if n not in total]:  # predicates without a start begin empty, of the kinds that a rule will give
+        ready = next(((n, r) for n in missing for r in rules[n] if not calls(r.body) & set(missing)), None)
+        if ready is None:
+            from .clauses import _one_row
+
+            of = {v: Val("any", boxed(Val("int", F.lit(0).cast("long")))) for v in (X, Y)}
+            for n in missing:
+                head = Frame.of(_one_row(context), {v: of[v] for v in (X, Y)[: len(rules[n][0].head)]})
+                kinds[n], (df,) = _unified([head])
+                total[n] = df.limit(0)
+            continue
+        name, rule = ready
+        head = _head(conjunction(replace(context, derived=dict(context.derived) | {n: _frame(total[n], kinds[n]) for n in total}), rule.body, None, set(rule.head)), rule)
+        kinds[name], (df,) = _unified([Frame.of(head.df, {v: as_any(x) if general else x for v, x in head.scope.items()})])
+        total[name] = written(df.limit(0), "derived")
     delta = dict(total)
     if only:
         return {only: _closure(total[only], kinds[only], allowed[only], most)}

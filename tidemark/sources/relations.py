@@ -51,6 +51,12 @@ class Relation:
         return Val(f"ent:{self.name}", self.key_column)
 
 
+def millis_of(timestamp: Column) -> Column:
+    """Milliseconds since 1970 of a timestamp without time zone, whatever the session's zone."""
+    micros = F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), timestamp.cast("timestamp_ntz"))
+    return F.call_function("div", micros - F.pmod(micros, F.lit(1000)), F.lit(1000).cast("long"))
+
+
 def attributes(prefix: str, /, **columns: str) -> dict[str, Attribute]:
     """Attributes :prefix/name from name="column kind [target]"; kind ms turns a timestamp into milliseconds."""
     out = {}
@@ -58,7 +64,7 @@ def attributes(prefix: str, /, **columns: str) -> dict[str, Attribute]:
         column, kind, *target = spec.split()
         c = F.col(column)
         if kind == "ms":
-            c, kind = F.floor(F.unix_micros(c) / 1000).cast("long"), "int"
+            c, kind = millis_of(c), "int"
         elif kind == "ent":
             c, kind = c.cast("long"), f"ent:{target[0]}"
         elif kind == "int":
