@@ -421,6 +421,14 @@ def _place(kind: str, cursor: str) -> list:
     return place
 
 
+def _later(key: list[str], place: list) -> Column:
+    """Rows behind a place in the order of a key."""
+    out, equal = F.lit(False), F.lit(True)
+    for k, v in zip(key, place, strict=True):
+        out, equal = out | (equal & (F.col(k) > v)), equal & (F.col(k) == v)
+    return out
+
+
 @dataclass(frozen=True)
 class Page:
     """Rows of a paged reader, and where the next page begins."""
@@ -480,7 +488,7 @@ class ReadView:
         df = temporal.as_of(self.log.where((F.col("a") == attribute) & (F.col("e") == e)), self.tx_count).withColumn("vkey", identity())
         key = ["vkey", "valid_from", "valid_to", "tx_count", "seq"]
         if after:
-            df = df.where(F.struct(*key) > F.struct(*map(F.lit, _place("history", after))))
+            df = df.where(_later(key, _place("history", after)))
         rows = df.orderBy(*key).limit(limit + 1).collect()
         more = len(rows) > limit
         return Page(rows[:limit], _cursor("history", [rows[limit - 1][k] for k in key]) if more else None)

@@ -94,7 +94,10 @@ class ParquetLog:
         first = first or tx_count
         if first != self.head + 1:
             raise ValueError("another writer was faster")
-        self._publish(df, first, tx_count)
+        try:
+            self._publish(df, first, tx_count)
+        except FileExistsError:
+            raise ValueError("another writer was faster") from None
         self.head = tx_count
 
     def _publish(self, df: DataFrame, first: int, last: int) -> None:
