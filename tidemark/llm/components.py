@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .common import dropped, written
 
+#: Links that one task handles.
+EDGES_IN_A_TASK = 200_000
+
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """id, component (the smallest id that can be reached) of every id in links; links with a null end or equal ends count for nothing.
@@ -21,13 +24,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == seen or not state[0]:
             return edges.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(edges.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        seen = state
+        seen, parts = state, max(6, state[0] // EDGES_IN_A_TASK)  # a table of a few links isn't worth hundreds of tasks
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select("u", "v", "m")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")).coalesce(parts)
+        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(parts).distinct().coalesce(parts)
+        least = large.groupBy("u").agg(F.min("v").alias("m")).coalesce(parts)
+        small = large.join(least, "u").select("u", "v", "m").coalesce(parts)
         small = small.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct()
+        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u != v").distinct().coalesce(parts)
         before, edges = edges, written(small, "links")
         dropped(before)

@@ -12,8 +12,8 @@ similarity 0.8 fails that with a probability of about 1e-5.) Ends of partitions
 
 Links. Each representative's MOST_TRIED best candidates are confirmed on full sets, rebuilt from whole texts. Confirmed links form components.
 Then the forest of rows that had a candidate is walked again, where only neighbours of different components and pairs not tried yet
-count, until no candidate is left, and again with wider walks (WALKS) for rows whose nearest neighbours were near but not linked. Pairs
-inside a component can't change the result, so they needn't be tried.
+count, in wider walks (WALKS) for rows whose nearest neighbours were near but not linked, until no candidate is left. Pairs inside a
+component can't change the result, so they needn't be tried.
 
 Result. Documents of null or empty text have an empty set and are linked with nothing. Rows of one doc_id count as one document (the same
 component). Rows of null doc_id are linked with nothing: component_id null, kept true. An empty table gives an empty result. Columns other
@@ -36,7 +36,9 @@ from .components import components
 
 ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 2
 #: How many rows before it a row is compared with, walk after walk; and the pairs of a row that the first rounds confirm.
-WALKS, SKETCH_AGREES, MOST_TRIED = (3, 16, 64), 38, 2
+WALKS, SKETCH_AGREES, MOST_TRIED = (3, 64), 38, 2
+#: Rows of the sorted orders that one task handles.
+ROWS_IN_A_TASK = 300_000
 SLOTS = ORDERS * DEPTH
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -188,16 +190,16 @@ def _neighbours(batches: Iterator[pa.RecordBatch], walk: int) -> Iterator[pa.Rec
         yield made(*nothing(len(carried)), 1, carried)
 
 
-def candidates(signed: DataFrame, walk: int) -> DataFrame:
-    """a, b, agrees of the candidate pairs of rows (id, comp, sig) whose components differ."""
+def candidates(signed: DataFrame, walk: int, count: int) -> DataFrame:
+    """a, b, agrees of the candidate pairs of rows (id, comp, sig; so many) whose components differ."""
     names = ["tree", "hi", "lo", "id"]
     rows = signed.mapInArrow(_forest_rows, _ROW)
     compare = functools.partial(_neighbours, walk=walk)
-    n = max(2, int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    n = 4 + count * ORDERS // ROWS_IN_A_TASK
     found = written(rows.repartitionByRange(n, *names).sortWithinPartitions(*names).mapInArrow(compare, _FOUND), "neighbours")
     ends = found.where("side = 1").select(*(f.split()[0] for f in _ROW.split(", "))).distinct()  # a few rows of each partition
     across = ends.repartition(1).sortWithinPartitions(*names).mapInArrow(compare, _FOUND)
-    return found.unionByName(across).where("side = 0").groupBy("a", "b").agg(F.max("agrees").alias("agrees"))
+    return found.unionByName(across).where("side = 0").groupBy("a", "b").agg(F.max("agrees").alias("agrees")).coalesce(n)
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -232,29 +234,29 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     reps = classes.select(F.col("rep").alias("id")).distinct()
     sigs = usable.select(F.col("doc_id").alias("id"), "sig").join(reps, "id", "left_semi").dropDuplicates(["id"])
     sigs = written(sigs, "representatives")
-    pairs = written(candidates(sigs.withColumn("comp", F.col("id")), WALKS[0]), "candidates")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    pairs = written(candidates(sigs.withColumn("comp", F.col("id")), WALKS[0], sigs.count()), "candidates")
+    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
     near = written(sigs.join(involved, "id", "left_semi"), "near")
-    texts = written(docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"]), "texts")
-    links, tried, of, walks, most = None, None, None, list(WALKS[1:]), MOST_TRIED
+    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"])
+    texts = written(found, "texts")
+    n_near = near.count()
+    parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK
+    links, tried, of, most = None, None, None, MOST_TRIED
     while True:
-        ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a")))
+        ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).coalesce(parts)
+        ranked = ranked.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a"))).coalesce(parts)
         chosen = written(ranked.where((F.col("ra") <= most) | (F.col("rb") <= most)).select("a", "b"), "chosen")
-        done = chosen.isEmpty()
-        if done and (not walks or tried is None):
+        if chosen.isEmpty():
             break
-        if done:
-            walk, most = walks.pop(0), 4 * MOST_TRIED
-        else:
-            walk, most = WALKS[len(WALKS) - len(walks) - 1], 2 * most
-            verdicts = written(confirmed(chosen, texts, words, percent), "verdicts")
-            tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
-            new = verdicts.where("linked").select("a", "b")
-            links = new if links is None else links.unionByName(new)
-            of = written(components(links), "components")
-        comp = near.join(of, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp"))
-        old, pairs = pairs, written(candidates(comp, walk).join(tried, ["a", "b"], "left_anti"), "candidates")
+        verdicts = written(confirmed(chosen, texts, words, percent), "verdicts").coalesce(parts)
+        tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
+        new = verdicts.where("linked").select("a", "b")
+        links = new if links is None else links.unionByName(new)
+        of = written(components(links), "components")
+        comp = near.join(of, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp")).coalesce(parts)
+        old, pairs = pairs, written(candidates(comp, WALKS[1], n_near).join(tried, ["a", "b"], "left_anti").coalesce(parts), "candidates")
         dropped(old)
+        most *= 4
     if of is not None:
         classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     else:
