@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import tempfile
 import uuid
@@ -71,6 +72,21 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+@contextlib.contextmanager
+def bloom_joins(spark: SparkSession) -> Iterator[None]:
+    """Inside, Spark makes a Bloom filter (8 MB at most, whatever the input) of a join's filtered side and applies it to the other side's scan."""
+    prefix = "spark.sql.optimizer.runtime.bloomFilter."
+    wanted = {"enabled": "true", "applicationSideScanSizeThreshold": "1b", "creationSideThreshold": "1t", "maxNumBits": "67108864", "maxNumItems": "8000000"}
+    before = {k: spark.conf.get(prefix + k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(prefix + k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(prefix + k) if v is None else spark.conf.set(prefix + k, v)
+
+
 def dropped(df: DataFrame) -> None:
     """Delete what written() wrote for df, when nothing reads it any more."""
     spark = df.sparkSession

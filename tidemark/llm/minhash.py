@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bounded_batches, dropped, mixed, slices, table, texts_of, written
+from .common import bloom_joins, bounded_batches, dropped, mixed, slices, table, texts_of, written
 from .components import components
 
 ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 2
@@ -235,10 +235,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     sigs = usable.select(F.col("doc_id").alias("id"), "sig").join(reps, "id", "left_semi").dropDuplicates(["id"])
     sigs = written(sigs, "representatives")
     pairs = written(candidates(sigs.withColumn("comp", F.col("id")), WALKS[0], sigs.count()), "candidates")
-    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved")
+    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved").where(F.col("id") > F.lit(-(1 << 63)))
     near = written(sigs.join(involved, "id", "left_semi"), "near")
-    found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"])
-    texts = written(found, "texts")
+    with bloom_joins(docs.sparkSession):  # few texts have a candidate; the filter keeps the others out of the shuffle
+        found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"])
+        texts = written(found, "texts")
     n_near = near.count()
     parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK
     links, tried, of, most = None, None, None, MOST_TRIED
