@@ -43,6 +43,7 @@ CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in CLOSE
 P_BARRIER = frozenset("td th table button article section div aside nav body html object blockquote li".split())
 
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<!--|<[!?]")
+UNFINISHED = re.compile(r"</?[a-zA-Z][^<>]*\Z")
 ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
@@ -82,7 +83,7 @@ def parse(page: str) -> Node:
         m = TAG.search(page, pos)
         end = m.start() if m else n
         if end > pos and not at.cut:
-            at.parts.append(page[pos:end])
+            at.parts.append(page[pos:end] if m else UNFINISHED.sub("", page[pos:end]))
         if not m:
             break
         if m[0] == "<!--":

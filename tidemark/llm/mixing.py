@@ -8,7 +8,8 @@ md5(seed:mix:doc_id:copy), a random global order that is the same on every run.
 Shares count a text's characters plus one. Without explicit weights a source's target is its size to the power of `exponent` (0.5 flattens,
 1 keeps). Given weights are relative; sources that aren't named get none. Null sources are the source ''. Null texts count as empty. Rows
 of equal doc_id are copied alike, null ids as the id ''. An empty table gives an empty result. Other columns are kept; copy, repeats, rate and mix_key are
-added, and replaced where they clash. Rates over MOST_REPEATS are an error: such weights ask for hundreds of copies of each document.
+added, and replaced where they clash. A rate is held at MOST_REPEATS at most: a source too small for its target stays below it rather than fill
+the mix with hundreds of copies of a few documents.
 
 Rates are joined by broadcast while the cumulative tables have at most BROADCAST_ROWS numbers; beyond, by a join on source and a salt, so
 that a hot source is dealt over SALTS tasks.
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-MOST_REPEATS, BROADCAST_ROWS, SALTS = 500.0, 1_000_000, 64
+MOST_REPEATS, BROADCAST_ROWS, SALTS = 100.0, 1_000_000, 64
 SEED = "tidemark"
 
 
@@ -44,7 +45,8 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: fl
     total = sized.agg(F.sum("chars").cast("double"), F.sum("target")).first()
     if not total[1]:
         return sized.select("source", F.lit(0.0).alias("rate"))
-    return sized.select("source", (F.col("target") / F.lit(total[1]) * F.lit(total[0]) / F.col("chars")).alias("rate"))
+    rate = F.col("target") / F.lit(total[1]) * F.lit(total[0]) / F.col("chars")
+    return sized.select("source", F.least(rate, F.lit(MOST_REPEATS)).alias("rate"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: str = SEED, source: str = "source", text: str = "text") -> DataFrame:
@@ -52,9 +54,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     docs = docs.drop("copy", "repeats", "rate", "mix_key")
     found = rates(docs, weights, exponent, source, text)
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
-    bound = found.agg(F.max("rate"), F.sum(last)).first()
-    if (bound[0] or 0) > MOST_REPEATS:
-        raise ValueError(f"the weights ask for {bound[0]:.0f} copies of each document of a source")
+    numbers = found.agg(F.sum(last)).first()[0] or 0
     # Cumulative probabilities, each term from the one before.
     step = lambda acc, j: F.struct(
         (acc["p"] * F.col("rate") / j).alias("p"), (acc["c"] + acc["p"] * F.col("rate") / j).alias("c"), F.concat(acc["all"], F.array(acc["c"] + acc["p"] * F.col("rate") / j)).alias("all")
@@ -62,7 +62,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
     start = F.struct(F.exp(-F.col("rate")).alias("p"), F.exp(-F.col("rate")).alias("c"), F.array(F.exp(-F.col("rate"))).alias("all"))
     tables = found.select(F.col("source").alias("_source"), "rate", F.aggregate(F.sequence(F.lit(1), last), start, step, lambda acc: acc["all"]).alias("_upto"))
     own = docs.withColumn("_source", F.coalesce(F.col(source).cast("string"), F.lit("")))
-    if (bound[1] or 0) <= BROADCAST_ROWS:
+    if numbers <= BROADCAST_ROWS:
         joined = own.join(F.broadcast(tables), "_source")
     else:
         salted = tables.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -85,7 +85,7 @@ OP9_SQL = """
 WITH sized AS (
   SELECT coalesce(source, '') AS src, sum(length(coalesce(text, '')) + 1)::DOUBLE AS chars FROM documents GROUP BY 1),
 rated AS (
-  SELECT src, pow(chars, 0.5) / (SELECT sum(pow(chars, 0.5)) FROM sized) * (SELECT sum(chars) FROM sized) / chars AS rate FROM sized),
+  SELECT src, least(100.0, pow(chars, 0.5) / (SELECT sum(pow(chars, 0.5)) FROM sized) * (SELECT sum(chars) FROM sized) / chars) AS rate FROM sized),
 terms AS (
   SELECT src, rate, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p
   FROM rated, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT))) AS t(j)),

@@ -164,6 +164,8 @@ class Lexicon:
     def score(self, text: str) -> float:
         """0 to 1: the noisy-or of the base rate and the matches, raised by neighbours in the window."""
         found = self.matches(text)
+        if not found:
+            return self.base
         rest = 1.0 - self.base
         for i, (k, *kind) in enumerate(found):
             w = self.weight(*kind)
