@@ -15,7 +15,7 @@ from pyspark.sql import types as T
 
 from .functions.edn import Const, DatalogError, Slot, Var
 from .functions.times import ALL_TIME, FOREVER, millis, now, text_of
-from .functions.values import TAGS, Val, entity_id
+from .functions.values import TAGS, Val, boxed, entity_id, node
 from .operators import temporal
 from .operators.clauses import Context, X, Y, conjunction
 from .operators.frames import Frame
@@ -220,10 +220,9 @@ class Engine:
             windows = temporal.net_windows(self._log().read())
             if command.query:
                 found = self.run_query(command.query, instant=at).toDF("e", "a", "v")
-                kinds = dict(found.dtypes)
-                if kinds["a"] != "string":
-                    raise DatalogError("forget needs an entity, an attribute and a value")
-                triples = found.select("e", "a", _as_struct(found.schema["v"]).alias("v"))
+                entity = node(Val("any", F.col("e"))).col["s"] if isinstance(found.schema["e"].dataType, T.StructType) else F.col("e")
+                attribute = F.col("a")["s"] if isinstance(found.schema["a"].dataType, T.StructType) else F.col("a")
+                triples = found.select(entity.alias("e"), attribute.alias("a"), _as_struct(found.schema["v"]).alias("v"))
             else:
                 triples = self.spark.createDataFrame([(_entity(f.e), f.a, value_row(f.v)) for f in command.facts], T.StructType([SCHEMA["e"], SCHEMA["a"], SCHEMA["v"]]))
             triples = triples.withColumn("vkey", identity()).select("e", "a", "vkey").distinct()
@@ -276,8 +275,6 @@ def _entity(c: Const) -> str:
 
 def _as_struct(field: T.StructField) -> Column:
     """A result column as a value struct."""
-    from .functions.values import boxed
-
     kind = {"bigint": "int", "double": "float", "boolean": "bool", "string": "string"}.get(field.dataType.simpleString(), "any")
     return boxed(Val(kind, F.col(field.name)))
 
