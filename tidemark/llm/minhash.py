@@ -7,12 +7,12 @@ the set; the smallest doc_id represents it, and only representatives go on.
 Forest. A signature has ORDERS x DEPTH values. Each order sorts all representatives by its own DEPTH values, dealt by range, so that a
 crowded region is spread over tasks. Rows that share at least LEAST_DEPTH values are in one region; inside it a row's nearest neighbours by
 longest common prefix stand next to it, so the depth at which two rows meet adapts to how crowded the region is. Each row is compared
-with a few rows before it by a sketch of 64 four-bit values; pairs that agree on SKETCH_AGREES of them are candidates. (A pair of
-similarity 0.8 fails that with a probability of about 1e-5.) Ends of partitions are compared in a small second pass.
+with a few rows before it by a sketch of NARROW four-bit values; pairs that agree on as many as similarity 0.8 would give, less 4.5 standard
+deviations, are candidates (a linked pair fails that with a probability of about 1e-5). Ends of partitions are compared in a small second pass.
 
-Links. Each representative's MOST_TRIED best candidates are confirmed on full sets, rebuilt from whole texts. Confirmed links form components.
+Links. Each representative's MOST_TRIED best candidates are confirmed on full sets, rebuilt from whole texts; confirmed links form components.
 Then the forest of rows that had a candidate is walked again, where only neighbours of different components and pairs not tried yet
-count, in wider walks (WALKS) for rows whose nearest neighbours were near but not linked, until no candidate is left. Pairs inside a
+count, in wider walks (WALKS) by sharper sketches (WIDE) for rows whose nearest neighbours were near but not linked, until no candidate is left. Pairs inside a
 component can't change the result, so they needn't be tried.
 
 Result. Documents of null or empty text have an empty set and are linked with nothing. Rows of one doc_id count as one document (the same
@@ -31,12 +31,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import bloom_joins, bounded_batches, dropped, mixed, slices, table, texts_of, written
+from .common import bloom_joins, bounded_batches, mixed, slices, table, texts_of, written
 from .components import components
 
 ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 2
-#: How many rows before it a row is compared with, walk after walk; and the pairs of a row that the first rounds confirm.
-WALKS, SKETCH_AGREES, MOST_TRIED = (3, 64), 38, 2
+#: How many rows before it a row is compared with, walk after walk; and the pairs of a row that the first round confirms.
+WALKS, MOST_TRIED = (3, 64), 2
+#: Four-bit values in the sketches of the first walk and of the later ones.
+NARROW, WIDE = 64, 768
 #: Rows of the sorted orders that one task handles.
 ROWS_IN_A_TASK = 300_000
 SLOTS = ORDERS * DEPTH
@@ -46,7 +48,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
-_SLOT = _rng.integers(1, 1 << 63, size=SLOTS, dtype=np.uint64) | np.uint64(1)
+_SLOT = _rng.integers(1, 1 << 63, size=SLOTS + WIDE, dtype=np.uint64) | np.uint64(1)
 _BASE, _ODD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -76,7 +78,7 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     n = len(hashes)
     with np.errstate(over="ignore"):
         rolled = hashes.copy()
-        for k in range(1, words):
+        for k in range(1, min(words, n)):
             rolled[: n - k] = mixed(rolled[: n - k] * _ODD + hashes[k:])  # rows near the end are never read whole
         out = []
         for a, b in zip(first[:-1], first[1:], strict=True):
@@ -92,13 +94,42 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
-def signature(s: np.ndarray) -> np.ndarray:
-    """SLOTS values of 16 bits; of equal sets, equal."""
-    least = np.full(SLOTS, np.iinfo(np.uint64).max, dtype=np.uint64)
+def _least(s: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """MinHash values of a set, one for each slot."""
+    least = np.full(len(slots), np.iinfo(np.uint64).max, dtype=np.uint64)
     with np.errstate(over="ignore"):
         for a in range(0, len(s), 1024):
-            np.minimum(least, (s[a : a + 1024, None] * _SLOT[None, :]).min(axis=0), out=least)
-    return (mixed(least) >> np.uint64(48)).astype(np.uint16)
+            np.minimum(least, (s[a : a + 1024, None] * slots[None, :]).min(axis=0), out=least)
+    return mixed(least)
+
+
+def signature(s: np.ndarray) -> np.ndarray:
+    """SLOTS values of 16 bits; of equal sets, equal."""
+    return (_least(s, _SLOT[:SLOTS]) >> np.uint64(48)).astype(np.uint16)
+
+
+def packed(values: np.ndarray) -> np.ndarray:
+    """Rows of four-bit values as rows of longs."""
+    nibbles = (values & 15).astype(np.uint64).reshape(len(values), -1, 16)
+    return np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
+
+
+def least_agreeing(n: int, similarity: float = 0.8) -> int:
+    """How many of n four-bit values agree at least, for sets of this similarity."""
+    p = similarity + (1 - similarity) / 16
+    return int(np.ceil(n * (p - 4.5 * np.sqrt(p * (1 - p) / n))))
+
+
+def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
+    """id, sketch of WIDE values of rows id, text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(t := texts_of(batch), 1_000_000):
+                rows = [packed(_least(s, _SLOT[SLOTS:])[None, :]).tobytes() for s in shingle_sets(t[a:b], words)]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(rows, pa.binary())], names=["id", "sketch"])
+
+    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
 
 
 _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
@@ -121,84 +152,87 @@ def signatures(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, _SIGNED)
 
 
-_ROW = "tree int, hi long, lo long, id long, comp long, s0 long, s1 long, s2 long, s3 long"
+_KEY = ["tree", "hi", "lo", "id"]
+_ROW = "tree int, hi long, lo long, id long, comp long, sketch binary"
+_FOUND = f"a long, b long, agrees int, side int, {_ROW}"
+_LOW = np.uint64(0x1111111111111111)
 
 
 def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each signature and order: its values in two longs, the row's id and component, and the sketch."""
+    """For each signature and order: its values in two longs, the row's id and component, and its sketch (from the signature, if it has none)."""
     for batch in batches:
         n = batch.num_rows
         if not n:
             continue
         sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(n, SLOTS)
-        packed = sig.reshape(n, ORDERS, 2, 4).astype(np.uint64)
-        keys = packed[..., 0] << np.uint64(48) | packed[..., 1] << np.uint64(32) | packed[..., 2] << np.uint64(16) | packed[..., 3]
-        nibbles = (sig[:, :64] & 15).astype(np.uint64).reshape(n, 4, 16)
-        sketch = np.bitwise_or.reduce(nibbles << (np.arange(16, dtype=np.uint64) * np.uint64(4)), axis=2).view(np.int64)
-        each = lambda x: pa.array(np.repeat(np.ascontiguousarray(x), ORDERS))
-        ids, comps = batch.column("id").to_numpy(), batch.column("comp").to_numpy()
+        fours = sig.reshape(n, ORDERS, 2, 4).astype(np.uint64)
+        keys = fours[..., 0] << np.uint64(48) | fours[..., 1] << np.uint64(32) | fours[..., 2] << np.uint64(16) | fours[..., 3]
         flat = keys.view(np.int64).reshape(n * ORDERS, 2)
-        yield pa.RecordBatch.from_arrays([pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), pa.array(np.ascontiguousarray(flat[:, 0])), pa.array(np.ascontiguousarray(flat[:, 1])), each(ids), each(comps), *(each(sketch[:, k]) for k in range(4))], names=["tree", "hi", "lo", "id", "comp", "s0", "s1", "s2", "s3"])
-
-
-_LOW = np.uint64(0x1111111111111111)
+        sketch = batch.column("sketch") if "sketch" in batch.schema.names else pa.array([r.tobytes() for r in packed(sig[:, :NARROW])], pa.binary())
+        each = pa.array(np.repeat(np.arange(n), ORDERS))
+        columns = [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)), *(c.take(each) for c in (batch.column("id"), batch.column("comp"), sketch))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "comp", "sketch"])
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """How many of the 64 four-bit values of sketches (rows of four longs) agree."""
+    """How many of the four-bit values of sketches (rows of longs) agree."""
     d = (x ^ y).view(np.uint64)
     d = (d | d >> np.uint64(1) | d >> np.uint64(2) | d >> np.uint64(3)) & _LOW
-    return 64 - np.bitwise_count(d).sum(axis=1).astype(np.int64)
-
-
-_FOUND = f"a long, b long, agrees int, side int, {_ROW}"
+    return 16 * x.shape[1] - np.bitwise_count(d).sum(axis=1).astype(np.int64)
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch], walk: int) -> Iterator[pa.RecordBatch]:
     """Over rows sorted by order and values: candidate pairs (side 0), and the first and last `walk` rows of the partition (side 1)."""
-    names = ["tree", "hi", "lo", "id", "comp", "s0", "s1", "s2", "s3"]
-    carried, begun = None, 0
+    shift = np.uint64(64 - 16 * LEAST_DEPTH)
+    held, begun = None, 0
+
+    def pairs(a: np.ndarray, b: np.ndarray, agrees: np.ndarray) -> pa.RecordBatch:
+        nothing = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agrees.astype(np.int32)), pa.array(np.zeros(len(a), np.int32)), *nothing], names=["a", "b", "agrees", "side", *_KEY, "comp", "sketch"])
 
-    def made(a, b, agrees, side, rows) -> pa.RecordBatch:
-        n = len(a)
-        columns = [pa.array(a), pa.array(b), pa.array(agrees.astype(np.int32)), pa.array(np.full(n, side, np.int32)), *(pa.array(rows[:, k].astype(np.int32) if k == 0 else np.ascontiguousarray(rows[:, k])) for k in range(9))]
-        return pa.RecordBatch.from_arrays(columns, names=["a", "b", "agrees", "side", *names])
+    def ends(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        n = rows.num_rows
+        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        made = pa.table([*nothing, pa.array(np.ones(n, np.int32)), *rows.columns], names=["a", "b", "agrees", "side", *_KEY, "comp", "sketch"])
+        yield from made.combine_chunks().to_batches()
 
-    nothing = lambda n: (np.zeros(n, np.int64),) * 2 + (np.zeros(n, np.int64),)
     for batch in batches:
         if not batch.num_rows:
             continue
-        new = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in names], axis=1)
+        new = pa.Table.from_batches([batch])
         if begun < walk:
-            head = new[: walk - begun]
-            begun += len(head)
-            yield made(*nothing(len(head)), 1, head)
-        old = 0 if carried is None else len(carried)
-        rows = new if carried is None else np.concatenate([carried, new])
+            head = new.slice(0, walk - begun)
+            begun += head.num_rows
+            yield from ends(head)
+        old = held.num_rows if held is not None else 0
+        rows = (pa.concat_tables([held, new]) if old else new).combine_chunks()
+        n = rows.num_rows
+        tree, hi, ids, comp = (rows.column(c).to_numpy() for c in ("tree", "hi", "id", "comp"))
+        region = hi.view(np.uint64) >> shift
+        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.int64).reshape(n, -1)
+        least = least_agreeing(16 * sketch.shape[1])
         for d in range(1, walk + 1):
-            at = np.arange(max(d, old), len(rows))
-            x, y = rows[at], rows[at - d]
-            ok = (x[:, 0] == y[:, 0]) & ((x[:, 1].view(np.uint64) >> np.uint64(64 - 16 * LEAST_DEPTH)) == (y[:, 1].view(np.uint64) >> np.uint64(64 - 16 * LEAST_DEPTH))) & (x[:, 4] != y[:, 4])
-            x, y = x[ok], y[ok]
-            agrees = agreeing(np.ascontiguousarray(x[:, 5:]), np.ascontiguousarray(y[:, 5:]))
-            near = agrees >= SKETCH_AGREES
-            x, y = x[near], y[near]
+            x = np.arange(max(d, old), n)
+            x = x[(tree[x] == tree[x - d]) & (region[x] == region[x - d]) & (comp[x] != comp[x - d])]
+            if not len(x):
+                continue
+            agrees = agreeing(sketch[x], sketch[x - d])
+            x, agrees = x[agrees >= least], agrees[agrees >= least]
             if len(x):
-                yield made(np.minimum(x[:, 3], y[:, 3]), np.maximum(x[:, 3], y[:, 3]), agrees[near], 0, np.zeros((len(x), 9), np.int64))
-        carried = rows[-walk:]
-    if carried is not None:
-        yield made(*nothing(len(carried)), 1, carried)
+                yield pairs(np.minimum(ids[x], ids[x - d]), np.maximum(ids[x], ids[x - d]), agrees)
+        held = rows.slice(max(0, n - walk))
+    if held is not None:
+        yield from ends(held)
 
 
 def candidates(signed: DataFrame, walk: int, count: int) -> DataFrame:
-    """a, b, agrees of the candidate pairs of rows (id, comp, sig; so many) whose components differ."""
-    names = ["tree", "hi", "lo", "id"]
-    rows = signed.mapInArrow(_forest_rows, _ROW)
+    """a, b, agrees of the candidate pairs of rows (id, comp, sig, maybe sketch; so many) whose components differ."""
     compare = functools.partial(_neighbours, walk=walk)
     n = 4 + count * ORDERS // ROWS_IN_A_TASK
-    found = written(rows.repartitionByRange(n, *names).sortWithinPartitions(*names).mapInArrow(compare, _FOUND), "neighbours")
-    ends = found.where("side = 1").select(*(f.split()[0] for f in _ROW.split(", "))).distinct()  # a few rows of each partition
-    across = ends.repartition(1).sortWithinPartitions(*names).mapInArrow(compare, _FOUND)
+    found = signed.mapInArrow(_forest_rows, _ROW).repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(compare, _FOUND)
+    found = written(found, "neighbours")
+    ends = found.where("side = 1").select(*_KEY, "comp", "sketch").dropDuplicates(_KEY)  # a few rows of each partition
+    across = ends.repartition(1).sortWithinPartitions(*_KEY).mapInArrow(compare, _FOUND)
     return found.unionByName(across).where("side = 0").groupBy("a", "b").agg(F.max("agrees").alias("agrees")).coalesce(n)
 
 
@@ -240,24 +274,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     with bloom_joins(docs.sparkSession):  # few texts have a candidate; the filter keeps the others out of the shuffle
         found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"])
         texts = written(found, "texts")
+    near = written(near.join(wide_sketches(texts, words), "id"), "near-wide")
     n_near = near.count()
     parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK
-    links, tried, of, most = None, None, None, MOST_TRIED
-    while True:
-        ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).coalesce(parts)
-        ranked = ranked.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a"))).coalesce(parts)
-        chosen = written(ranked.where((F.col("ra") <= most) | (F.col("rb") <= most)).select("a", "b"), "chosen")
-        if chosen.isEmpty():
-            break
-        verdicts = written(confirmed(chosen, texts, words, percent), "verdicts").coalesce(parts)
+    links, tried, of = None, None, None
+    ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).coalesce(parts)
+    ranked = ranked.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a"))).coalesce(parts)
+    pairs = written(ranked.where((F.col("ra") <= MOST_TRIED) | (F.col("rb") <= MOST_TRIED)).select("a", "b"), "chosen")
+    while not pairs.isEmpty():
+        verdicts = written(confirmed(pairs, texts, words, percent).coalesce(parts), "verdicts")
         tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
         new = verdicts.where("linked").select("a", "b")
         links = new if links is None else links.unionByName(new)
         of = written(components(links), "components")
-        comp = near.join(of, "id", "left").select("id", "sig", F.coalesce("component", "id").alias("comp")).coalesce(parts)
-        old, pairs = pairs, written(candidates(comp, WALKS[1], n_near).join(tried, ["a", "b"], "left_anti").coalesce(parts), "candidates")
-        dropped(old)
-        most *= 4
+        comp = near.join(of, "id", "left").select("id", "sig", "sketch", F.coalesce("component", "id").alias("comp")).coalesce(parts)
+        pairs = written(candidates(comp, WALKS[1], n_near).join(tried, ["a", "b"], "left_anti").coalesce(parts), "candidates")
     if of is not None:
         classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     else:
