@@ -70,7 +70,7 @@ def test_defined_results(spark, folder_of):
 
 def test_clashing_columns(docs):
     """Columns named as outputs are replaced, others are kept."""
-    odd = docs.withColumns({c: F.lit("own") for c in ("score", "n_matches", "lang_pred", "spans", "n_tokens", "n_bytes", "over_limit", "media", "piece_ids", "decoded", "copy", "repeats", "rate", "mix_key", "feature", "id", "component", "html", "extra")})
+    odd = docs.withColumns({c: F.lit("own") for c in ("score", "n_matches", "lang_pred", "spans", "n_tokens", "n_bytes", "over_limit", "media", "piece_ids", "decoded", "copy", "repeats", "rate", "mix_key", "feature", "id", "component", "extra")}).withColumn("html", F.lit("<p>x</p>"))
     model = pieces.model_path()
     import public_tokenizers
 
@@ -93,10 +93,11 @@ def test_clashing_columns(docs):
 
 def test_stages_keep_columns(spark, docs, folder_of):
     for odd in (docs, docs.limit(0)):
-        left = odd.withColumn("score", F.lit("own"))
+        left = odd.withColumns({"score": F.lit("own"), "rate": F.lit("own"), "kept": F.lit("own")})
         for _, stage in corpus_pipeline.STAGES[:-1]:
             left = stage(spark, left, folder_of[False])
-            assert left.columns == [*docs.columns, "score"]
+            assert left.columns == [*docs.columns, "score", "rate", "kept"]
+            assert all(r.score == r.rate == r.kept == "own" for r in left.collect())
             left = spark.createDataFrame(left.collect(), left.schema)
 
 

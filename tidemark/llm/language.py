@@ -177,11 +177,11 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("lang", T.StringType())]))
 
 
-def label(docs: DataFrame, model: Model, text: str = "text", spans: bool = False) -> DataFrame:
-    """docs with lang_pred and score, and if asked for, spans: (start, end, language) in code points."""
+def label(docs: DataFrame, model: Model, text: str = "text", spans: bool = False, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """docs with lang_pred and score (under other names if asked for), and if asked for, spans: (start, end, language) in code points."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    extra = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), *([T.StructField("spans", _SPANS)] * spans)]
+    extra = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), *([T.StructField("spans", _SPANS)] * spans)]
     kept = docs.drop(*{f.name for f in extra} - {text})
     sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
 

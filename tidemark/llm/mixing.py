@@ -24,6 +24,7 @@ from .common import table, written
 
 MOST_REPEATS, BROADCAST_ROWS, SALTS = 100.0, 1_000_000, 64
 SEED = "tidemark"
+ADDED = ("copy", "repeats", "rate", "mix_key")
 
 
 def _uniform(key: Column) -> Column:
@@ -51,7 +52,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: fl
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: str = SEED, source: str = "source", text: str = "text") -> DataFrame:
     """docs replicated to the weights in a random global order, with copy (from 1), repeats, rate and mix_key."""
-    docs = docs.drop("copy", "repeats", "rate", "mix_key")
+    docs = docs.drop(*ADDED)
     found = rates(docs, weights, exponent, source, text)
     last = F.ceil(F.col("rate") + 12 * F.sqrt("rate") + 20).cast("int")
     numbers = found.agg(F.sum(last)).first()[0] or 0

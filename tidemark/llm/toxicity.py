@@ -265,18 +265,18 @@ def _weighed(sample: DataFrame, lexicon: Lexicon, n_pos: int, n_neg: int) -> Lex
     return lexicon
 
 
-def score(docs: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
-    """docs with score and n_matches."""
+def score(docs: DataFrame, lexicon: Lexicon, text: str = "text", names: tuple[str, str] = ("score", "n_matches")) -> DataFrame:
+    """docs with score and n_matches, under other names if asked for."""
     bounded_batches(docs.sparkSession)
-    kept = docs.drop(*{"score", "n_matches"} - {text})
-    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("n_matches", T.LongType())])
+    kept = docs.drop(*set(names) - {text})
+    schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = texts_of(batch, text)
             scores = pa.array([lexicon.score(t) for t in texts], pa.float64())
             found = pa.array([len(lexicon.matches(t)) if s > lexicon.base else 0 for t, s in zip(texts, scores.to_pylist(), strict=True)], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, scores, found], names=[*batch.schema.names, "score", "n_matches"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, scores, found], names=[*batch.schema.names, *names])
 
     return kept.mapInArrow(run, schema)
 
