@@ -19,14 +19,14 @@ LEAST_LANGUAGE = 1 / 3
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below the threshold."""
-    scored = toxicity.score(docs.withColumn("_text", F.col("text")), toxicity.learned(docs, table(spark, sf_dir, "labels")), text="_text")
-    return scored.where(F.col("score") < toxicity.PREDICTED_AT).select(*docs.columns)
+    scored = toxicity.score(docs, toxicity.learned(docs, table(spark, sf_dir, "labels")), names=("_toxicity", "_matches"))
+    return scored.where(F.col("_toxicity") < toxicity.PREDICTED_AT).select(*docs.columns)
 
 
 def drop_languageless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that have letters, of which one language holds a third at least."""
-    labelled = language.label(docs, language.learned(docs))
-    return labelled.where((F.col("lang_pred") != language.UND) & (F.col("score") >= LEAST_LANGUAGE)).select(*docs.columns)
+    labelled = language.label(docs, language.learned(docs), names=("_lang", "_share"))
+    return labelled.where((F.col("_lang") != language.UND) & (F.col("_share") >= LEAST_LANGUAGE)).select(*docs.columns)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +37,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to the target weights of their sources, in a random global order."""
-    return mixing.mix(docs).select(*docs.columns)
+    own = [c for c in docs.columns if c in mixing.ADDED]  # columns of documents that mixing would replace
+    aside = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
+    mixed = mixing.mix(aside).select(*aside.columns)
+    return mixed.withColumnsRenamed({f"_own_{c}": c for c in own})
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
