@@ -39,8 +39,8 @@ ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 2
 WALKS, MOST_TRIED = (3, 64), 2
 #: Four-bit values in the sketches of the first walk and of the later ones.
 NARROW, WIDE = 64, 768
-#: Rows of the sorted orders that one task handles.
-ROWS_IN_A_TASK = 300_000
+#: Rows of the sorted orders, of signatures, and of texts that one task handles.
+ROWS_IN_A_TASK, SIGNATURES_IN_A_TASK, TEXTS_IN_A_TASK = 300_000, 10_000, 2_000
 SLOTS = ORDERS * DEPTH
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -125,7 +125,7 @@ def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b in slices(t := texts_of(batch), 1_000_000):
+            for a, b in slices(t := texts_of(batch), 500_000):
                 rows = [packed(_least(s, _SLOT[SLOTS:])[None, :]).tobytes() for s in shingle_sets(t[a:b], words)]
                 yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(rows, pa.binary())], names=["id", "sketch"])
 
@@ -142,7 +142,7 @@ def signatures(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, ids = texts_of(batch, "text"), batch.column("doc_id")
-            for a, b in slices(texts, 1_000_000):
+            for a, b in slices(texts, 500_000):
                 sets = shingle_sets(texts[a:b], words)
                 with np.errstate(over="ignore"):
                     sums = [[int(mixed(s, seed).sum(dtype=np.uint64).view(np.int64)) for s in sets] for seed in (1, 2)]
@@ -246,7 +246,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
         for batch in batches:
             a, b, texts_ = batch.column("a").to_pylist(), batch.column("b").to_pylist(), texts_of(batch)
             got: list[tuple[int, int, bool]] = []
-            for x, y in slices(texts_, 1_000_000):
+            for x, y in slices(texts_, 500_000):
                 for i, s in zip(range(x, y), shingle_sets(texts_[x:y], words), strict=True):
                     if b[i] is None:
                         base_id, base_set = a[i], s
@@ -264,35 +264,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     bounded_batches(docs.sparkSession)
     signed = written(signatures(docs, words, text), "signatures")
     usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")), "classes")
+    some = 6 + signed.count() // SIGNATURES_IN_A_TASK
+    classes = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).coalesce(some), "classes")
     reps = classes.select(F.col("rep").alias("id")).distinct()
     sigs = usable.select(F.col("doc_id").alias("id"), "sig").join(reps, "id", "left_semi").dropDuplicates(["id"])
-    sigs = written(sigs, "representatives")
+    sigs = written(sigs.coalesce(some), "representatives")
     pairs = written(candidates(sigs.withColumn("comp", F.col("id")), WALKS[0], sigs.count()), "candidates")
-    involved = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved").where(F.col("id") > F.lit(-(1 << 63)))
-    near = written(sigs.join(involved, "id", "left_semi"), "near")
+    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    involved = written(involved.coalesce(4 + pairs.count() // ROWS_IN_A_TASK), "involved").where(F.col("id") > F.lit(-(1 << 63)))
+    n_near = involved.count()
+    parts, text_parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK, 4 + n_near // TEXTS_IN_A_TASK
+    near = sigs.join(involved, "id", "left_semi")
     with bloom_joins(docs.sparkSession):  # few texts have a candidate; the filter keeps the others out of the shuffle
         found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"])
-        texts = written(found, "texts")
-    near = written(near.join(wide_sketches(texts, words), "id"), "near-wide")
-    n_near = near.count()
-    parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK
-    links, tried, of = None, None, None
+        texts = written(found.coalesce(text_parts), "texts")
+    near = written(near.join(wide_sketches(texts, words), "id").coalesce(text_parts), "near")
     ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).coalesce(parts)
     ranked = ranked.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a"))).coalesce(parts)
     pairs = written(ranked.where((F.col("ra") <= MOST_TRIED) | (F.col("rb") <= MOST_TRIED)).select("a", "b"), "chosen")
+    of, tried = near.select("id", F.col("id").alias("component")), None
     while not pairs.isEmpty():
-        verdicts = written(confirmed(pairs, texts, words, percent).coalesce(parts), "verdicts")
+        verdicts = written(confirmed(pairs, texts, words, percent).coalesce(text_parts), "verdicts")
         tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
-        new = verdicts.where("linked").select("a", "b")
-        links = new if links is None else links.unionByName(new)
-        of = written(components(links), "components")
-        comp = near.join(of, "id", "left").select("id", "sig", "sketch", F.coalesce("component", "id").alias("comp")).coalesce(parts)
+        # Links between the components so far; what they join is small, however many links a component has inside.
+        end = lambda c: of.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
+        between = verdicts.where("linked").join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b").where("of_a != of_b").coalesce(parts)
+        joined = components(between, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("least"))
+        of = written(of.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component")).coalesce(parts), "components")
+        comp = near.join(of, "id").select("id", "sig", "sketch", F.col("component").alias("comp")).coalesce(parts)
         pairs = written(candidates(comp, WALKS[1], n_near).join(tried, ["a", "b"], "left_anti").coalesce(parts), "candidates")
-    if of is not None:
-        classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    else:
-        classes = classes.withColumnRenamed("rep", "component_id")
+    classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     slim = signed.select("doc_id", "n_shingles", "f1", "f2")
     out = slim.join(classes, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
