@@ -163,7 +163,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts, langs = texts_of(batch), batch.column("lang").to_pylist()
         for lang in sorted(set(langs)):
             own = [t for t, k in zip(texts, langs, strict=True) if k == lang]
-            for a, b in slices(own, 1_000_000):
+            for a, b in slices(own, 500_000):
                 points, starts, ends, _ = words_of(own[a:b])
                 if len(starts):
                     grams[lang] = grams.get(lang, 0) + np.bincount(trigrams(points, starts, ends)[0], minlength=BUCKETS)
@@ -190,7 +190,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", spans: bool = False
         for batch in batches:
             preds, scores, runs = [], [], []
             texts = texts_of(batch, text)
-            for a, b in slices(texts, 2_000_000):
+            for a, b in slices(texts, 500_000):
                 for starts, ends, labels in m.label(texts[a:b]) if m.langs else [((), (), ())] * (b - a):
                     letters = np.bincount(labels, weights=ends - starts, minlength=1) if len(starts) else np.zeros(1)
                     top = int(letters.argmax())

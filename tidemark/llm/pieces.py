@@ -20,7 +20,6 @@ empty table gives an empty table with the same schema. A column named as an outp
 from __future__ import annotations
 
 import functools
-import hashlib
 import heapq
 import re
 from collections.abc import Iterator
@@ -36,7 +35,7 @@ from .common import bounded_batches, slices, table, texts_of
 
 MARK = "▁"
 #: Units that one worker keeps; the cache starts anew when it is full.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 500_000
 #: Kinds of pieces in a model file, and of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -114,7 +113,7 @@ class Transducer:
 
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' text gives these two pieces."""
-        if len(self.allowed) > 2_000_000:
+        if len(self.allowed) > 500_000:
             self.allowed.clear()
         a, b = self.names[left], self.names[right]
         found = self.allowed[left << 32 | right] = merge(a + b, self.scores) == [a, b]
@@ -197,10 +196,11 @@ def _extended(df: DataFrame, drop: tuple[str, ...], extra: list[T.StructField])
     return kept, T.StructType([*kept.schema.fields, *extra])
 
 
-def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "piece_ids") -> DataFrame:
-    """docs with a column of piece ids (array of int)."""
+def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "piece_ids", decoded: str | None = None) -> DataFrame:
+    """docs with a column of piece ids (array of int), and if a name is given, a column of the text that they decode to, in the same pass."""
     bounded_batches(docs.sparkSession)
-    kept, schema = _extended(docs, (out,), [T.StructField(out, T.ArrayType(T.IntegerType(), False))])
+    extra = [T.StructField(out, T.ArrayType(T.IntegerType(), False)), *([T.StructField(decoded, T.StringType())] if decoded else [])]
+    kept, schema = _extended(docs, tuple(f.name for f in extra), extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         machine = transducer(model_file)
@@ -208,9 +208,11 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", out: str = "pie
             for a, b in slices(texts := texts_of(batch, text), 2_000_000):
                 ids = [machine.encode(t) for t in texts[a:b]]
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))
+                made = [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids), pa.int32()))]
+                if decoded:
+                    made.append(pa.array([machine.decode(x) for x in ids], pa.string()))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, lists], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], names=[*part.schema.names, *(f.name for f in extra)])
 
     return kept.mapInArrow(run, schema)
 
@@ -238,18 +240,12 @@ def model_path() -> str:
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: n_pieces, ids_sha256 (of the little-endian int32 ids), round_trip (decoding gives the text back)."""
-    model = model_path()
+    """Per document: n_pieces, ids_sha256 (of the ids in decimals with commas), round_trip (decoding gives the text back)."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    encoded = decode(encode(docs, model), model)
-    digest = F.pandas_udf(_ids_digest, "string")
+    encoded = encode(docs, model_path(), decoded="decoded")
     return encoded.select(
         "doc_id",
         F.size("piece_ids").cast("long").alias("n_pieces"),
-        digest("piece_ids").alias("ids_sha256"),
+        F.sha2(F.array_join(F.col("piece_ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"),
     )
-
-
-def _ids_digest(ids):
-    return ids.map(lambda x: hashlib.sha256(np.asarray(x, dtype="<i4").tobytes()).hexdigest())

@@ -122,7 +122,7 @@ class FuzzyTrie:
             best = None
         if stem and (best is None or best[1] > 0):
             best = stem
-        if len(self.known) >= 400_000:
+        if len(self.known) >= 100_000:
             self.known.clear()
         self.known[word] = best
         return best
@@ -194,7 +194,7 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
                 counts[False, w][0 if toxic else 1] += 1
             for b in {w[:n] for w in words for n in STEM_LETTERS if len(w) > n}:
                 counts[True, b][0 if toxic else 1] += 1
-        if len(counts) > 1_000_000:
+        if len(counts) > 150_000:
             yield out()
     if counts:
         yield out()
