@@ -45,8 +45,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each row, and whether they decode to its text."""
-    model = pieces.model_path()
-    encoded = pieces.decode(pieces.encode(docs.select("doc_id", "lang", "source", "text"), model), model)
+    encoded = pieces.encode(docs.select("doc_id", "lang", "source", "text"), pieces.model_path(), decoded="decoded")
     return encoded.select("doc_id", "lang", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_pieces"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
 
 
