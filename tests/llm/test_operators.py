@@ -112,6 +112,22 @@ def test_documents_against_brute_force(spark):
     assert {i: (r.n_shingles, r.component_id, r.kept) for i, r in got.items()} == {i: (len(s), of[i], of[i] == i) for i, s in sets.items()}
 
 
+def test_linked_pairs_inside_a_crowd(spark, monkeypatch):
+    """Documents of one template are alike, but not enough; they fill windows that are small beside the crowd, and pairs are found all the same."""
+    monkeypatch.setattr(minhash, "WALKS", (1, 2))
+    template = [f"t{k}" for k in range(48)]
+    rows = []
+    for k in range(1500):
+        own = [f"o{k}x{j}" for j in range(15)]
+        rows.append((k, " ".join(template + own)))
+        if k % 10 == 0:
+            rows.append((10_000 + k, " ".join(template + own[:9] + [f"p{k}x{j}" for j in range(6)])))
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    sets = {i: shingles(t, 4) for i, t in rows}
+    links = [(a, b) for a, b in zip([r[0] for r in rows], [r[0] for r in rows][1:], strict=False) if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    assert len(links) == 150 and got == closure(sets, links)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(TEXTS, max_size=4), st.integers(1, 5))
 def test_shingle_sets(texts, n):

@@ -15,6 +15,12 @@ Then the forest of rows that had a candidate is walked again, where only neighbo
 count, in wider walks (WALKS) by sharper sketches (WIDE) for rows whose nearest neighbours were near but not linked, until no candidate is left. Pairs inside a
 component can't change the result, so they needn't be tried.
 
+Rest. A forest finds neighbours with high probability only, so an exact join over all representatives follows. Shingles have one order for all
+sets, rare ones first (counted in a sample of SAMPLE_DOCS documents; any order gives the same result, a good one fewer pairs). Two sets of the
+wanted similarity share one of the first n - ceil(n * similarity) + 1 shingles of their n, so those are dealt by shingle; pairs of different
+components that meet there, can still reach the similarity by their sizes and places, and haven't been tried, are confirmed on full sets,
+unless their signatures agree on far less than similarity 0.8 gives (LEAST_ALIKE).
+
 Result. Documents of null or empty text have an empty set and are linked with nothing. Rows of one doc_id count as one document (the same
 component). Rows of null doc_id are linked with nothing: component_id null, kept true. An empty table gives an empty result. Columns other
 than doc_id and text don't matter. Equal similarity to the threshold links.
@@ -42,6 +48,11 @@ NARROW, WIDE = 64, 768
 #: Rows of the sorted orders, of signatures, and of texts that one task handles.
 ROWS_IN_A_TASK, SIGNATURES_IN_A_TASK, TEXTS_IN_A_TASK = 300_000, 10_000, 2_000
 SLOTS = ORDERS * DEPTH
+#: Documents and shingles that the order of shingles is taken from.
+SAMPLE_DOCS, COMMON_SHINGLES = 20_000, 200_000
+#: Four-bit values of a signature (of 96) that agree at least in a pair of the exact join; at similarity 0.8 or more, fewer agree with a
+#: probability under 1e-12.
+LEAST_ALIKE = 44
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -259,6 +270,125 @@ def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> D
     return dealt.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def common_shingles(docs: DataFrame, words: int, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles that several documents of a bounded sample hold, sorted, and in how many; docs has id, text and about `count` rows."""
+    part = int(1_000_000 * min(1.0, SAMPLE_DOCS / max(1, count)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(t := texts_of(batch), 500_000):
+                found, n = np.unique(np.concatenate(shingle_sets(t[a:b], words)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n)], names=["shingle", "n"])
+
+    some = docs.where(F.pmod(F.xxhash64("id", F.lit(2)), F.lit(1_000_000)) < part)
+    counted = some.select("id", "text").mapInArrow(run, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    rows = counted.where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON_SHINGLES).collect()
+    found, n = (np.array([r[k] for r in rows], dtype=np.int64) for k in (0, 1))
+    order = np.argsort(found.view(np.uint64))
+    return found.view(np.uint64)[order], n[order]
+
+
+def prefix(s: np.ndarray, percent: int, common: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """The first shingles of a set in the order of all sets, as many as one of them must be shared by any set similar enough."""
+    found, n = common
+    seen = np.zeros(len(s), dtype=np.int64)
+    if len(found):
+        at = np.minimum(np.searchsorted(found, s), len(found) - 1)
+        seen = np.where(found[at] == s, n[at], 0)
+    return s[np.lexsort((s, seen))[: len(s) + 1 - -(-percent * len(s) // 100)]]
+
+
+_PLACE = "shingle long, n long, place int, id long, comp long"
+
+
+def _meetings(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by shingle and size: a, b of the pairs of different components that can be similar enough."""
+    held = None
+
+    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        shingle, n, place, ids, comp = (rows.column(k).to_numpy() for k in range(5))
+        begins = np.nonzero(np.diff(shingle, prepend=shingle[0] - 1 if shingle[0] > -(1 << 63) else 0))[0]
+        apart = np.minimum.reduceat(comp, begins) != np.maximum.reduceat(comp, begins)
+        x = np.nonzero(np.repeat(apart, np.diff(begins, append=len(shingle))))[0]
+        d, found, size = 0, [], 0
+        while len(x):
+            d += 1
+            x = x[x >= d]
+            x = x[(shingle[x] == shingle[x - d]) & (100 * n[x - d] >= percent * n[x])]  # the sizes before are no larger
+            y = x - d
+            both = np.minimum(n[x] - place[x], n[y] - place[y])  # what they can share from here on
+            at = x[(comp[x] != comp[y]) & (ids[x] != ids[y]) & ((100 + percent) * both >= percent * (n[x] + n[y]))]
+            if len(at):
+                found.append((np.minimum(ids[at], ids[at - d]), np.maximum(ids[at], ids[at - d])))
+                size += len(at)
+            if size > 100_000 or size and not len(x):
+                made = np.unique(np.concatenate([np.stack(f, axis=1) for f in found]), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(made[:, k])) for k in (0, 1)], names=["a", "b"])
+                found, size = [], 0
+
+    waiting: list[pa.RecordBatch] = []  # rows of one shingle that reach over batches
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = batch.column(0)[batch.num_rows - 1].as_py()
+        waiting.append(batch)
+        if batch.column(0)[0].as_py() == last and held == last:
+            continue
+        rows = pa.Table.from_batches(waiting).combine_chunks()
+        shingle = rows.column(0).to_numpy()
+        cut = int(np.searchsorted(shingle, last))
+        if cut:
+            yield from pairs(rows.slice(0, cut))
+        waiting, held = rows.slice(cut).to_batches(), last
+    if waiting:
+        yield from pairs(pa.Table.from_batches(waiting).combine_chunks())
+
+
+def meeting(docs: DataFrame, comps: DataFrame, words: int, percent: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """a, b of the pairs of rows (docs has id, text; comps has id, comp) of different components that share a shingle of their prefixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(t := texts_of(batch), 500_000):
+                sets = shingle_sets(t[a:b], words)
+                firsts = [prefix(s, percent, common).tobytes() if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(firsts, pa.binary())], names=["id", "n", "firsts"])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            firsts = [np.frombuffer(f, dtype=np.int64) for f in batch.column("firsts").to_pylist()]
+            sizes = np.array([len(f) for f in firsts])
+            each = pa.array(np.repeat(np.arange(len(firsts)), sizes))
+            place = np.concatenate([np.arange(k, dtype=np.int32) for k in sizes])
+            made = pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), batch.column("n").take(each), pa.array(place), batch.column("id").take(each), batch.column("comp").take(each)], names=["shingle", "n", "place", "id", "comp"])
+            yield from (made.slice(k, 100_000) for k in range(0, made.num_rows, 100_000))
+
+    firsts = docs.select("id", "text").mapInArrow(run, "id long, n long, firsts binary").where("firsts is not null and id is not null")
+    rows = firsts.join(comps, "id").select("id", "comp", "n", "firsts").mapInArrow(spread, _PLACE)
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n").mapInArrow(functools.partial(_meetings, percent=percent), "a long, b long").distinct()
+
+
+def alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of which LEAST_ALIKE four-bit values of the signatures (id, sig) agree at least."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), dtype=np.uint16).reshape(-1, SLOTS)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([r.tobytes() for r in packed(sig)], pa.binary())], names=["id", "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.int64).reshape(-1, SLOTS // 16) for c in ("of_a", "of_b"))
+            near = pa.array(agreeing(x, y) >= LEAST_ALIKE)
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(near), batch.column("b").filter(near)], names=["a", "b"])
+
+    sketches = sigs.select("id", "sig").mapInArrow(pack, "id long, sketch binary")
+    end = lambda c: sketches.select(F.col("id").alias(c), F.col("sketch").alias(f"of_{c}"))
+    return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(run, "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; one row of each component, its smallest doc_id, is kept."""
     bounded_batches(docs.sparkSession)
@@ -275,24 +405,36 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     n_near = involved.count()
     parts, text_parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK, 4 + n_near // TEXTS_IN_A_TASK
     near = sigs.join(involved, "id", "left_semi")
+    every = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
     with bloom_joins(docs.sparkSession):  # few texts have a candidate; the filter keeps the others out of the shuffle
-        found = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text")).join(involved, "id").dropDuplicates(["id"])
-        texts = written(found.coalesce(text_parts), "texts")
+        texts = written(every.join(involved, "id").dropDuplicates(["id"]).coalesce(text_parts), "texts")
     near = written(near.join(wide_sketches(texts, words), "id").coalesce(text_parts), "near")
     ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).coalesce(parts)
     ranked = ranked.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a"))).coalesce(parts)
     pairs = written(ranked.where((F.col("ra") <= MOST_TRIED) | (F.col("rb") <= MOST_TRIED)).select("a", "b"), "chosen")
     of, tried = near.select("id", F.col("id").alias("component")), None
-    while not pairs.isEmpty():
-        verdicts = written(confirmed(pairs, texts, words, percent).coalesce(text_parts), "verdicts")
-        tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
-        # Links between the components so far; what they join is small, however many links a component has inside.
+
+    def united(of: DataFrame, verdicts: DataFrame, parts: int) -> DataFrame:
+        """The components with the links between them; what they join is small, however many links a component has inside."""
         end = lambda c: of.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
         between = verdicts.where("linked").join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b").where("of_a != of_b").coalesce(parts)
         joined = components(between, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("least"))
-        of = written(of.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component")).coalesce(parts), "components")
+        return written(of.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component")).coalesce(parts), "components")
+
+    while not pairs.isEmpty():
+        verdicts = written(confirmed(pairs, texts, words, percent).coalesce(text_parts), "verdicts")
+        tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
+        of = united(of, verdicts, parts)
         comp = near.join(of, "id").select("id", "sig", "sketch", F.col("component").alias("comp")).coalesce(parts)
         pairs = written(candidates(comp, WALKS[1], n_near).join(tried, ["a", "b"], "left_anti").coalesce(parts), "candidates")
+    of = written(sigs.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component")).coalesce(some), "components")
+    rest = meeting(every, of.withColumnRenamed("component", "comp"), words, percent, common_shingles(every, words, signed.count()))
+    rest = written(alike(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), sigs), "rest")
+    if not rest.isEmpty():
+        involved = written(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved").where(F.col("id") > F.lit(-(1 << 63)))
+        with bloom_joins(docs.sparkSession):
+            texts = written(every.join(involved, "id").dropDuplicates(["id"]), "texts")
+        of = united(of, written(confirmed(rest, texts, words, percent), "verdicts"), some)
     classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
     slim = signed.select("doc_id", "n_shingles", "f1", "f2")
     out = slim.join(classes, ["f1", "f2", "n_shingles"], "left")
