@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents replicated to the target weights of their sources, in a random global order."""
     own = [c for c in docs.columns if c in mixing.ADDED]  # columns of documents that mixing would replace
     aside = docs.withColumnsRenamed({c: f"_own_{c}" for c in own})
-    mixed = mixing.mix(aside).select(*aside.columns)
+    mixed = mixing.mix(aside, most=None).select(*aside.columns)
     return mixed.withColumnsRenamed({f"_own_{c}": c for c in own})
 
 

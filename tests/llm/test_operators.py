@@ -301,6 +301,22 @@ def test_mixing_rates(spark):
     assert 50 < mixing.mix(tiny, {"c": 1.0}).count() < 150  # held at MOST_REPEATS
 
 
+def test_small_sources_reach_their_weight(spark, tmp_path, monkeypatch):
+    rows = [(0, "big", "t" * 999_999)] + [(k, "small", "") for k in range(1, 5)]
+    spark.createDataFrame(rows, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    out = mixing.op9_mixing(spark, str(tmp_path)).toPandas()
+    small = out[out["source"] == "small"]
+    rate = 2 / 1002 * 1_000_004 / 4  # 499: the square roots of the sizes are 2 and 1000
+    assert (small["rate"] - rate).abs().max() < 1e-6 and abs(len(small) - 4 * rate) < 5 * (4 * rate) ** 0.5
+    monkeypatch.setattr(mixing, "FAR_RATE", 1e9)  # the whole table, as far as exp(-rate) reaches
+    monkeypatch.setattr(mixing, "COPIES_IN_A_TASK", 7)
+    assert set(mixing.op9_mixing(spark, str(tmp_path)).toPandas()["mix_key"]) == set(out["mix_key"])
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    monkeypatch.undo()
+    many = mixing.mix(df, {"small": 1.0}, most=None).groupBy("doc_id").count().toPandas()
+    assert len(many) == 4 and (many["count"] - 250_001).abs().max() < 5 * 500  # exp(-rate) is 0
+
+
 def test_salted_join_gives_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(k, f"s{k % 4}", "t" * (k % 7)) for k in range(300)], "doc_id long, source string, text string")
     want = sorted(mixing.mix(df).select("mix_key").toPandas()["mix_key"])
