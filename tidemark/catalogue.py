@@ -30,6 +30,7 @@ def relations(spark: SparkSession, folder: str) -> Engine:
         Relation("tree", part, "p_partkey", {":tree/parent": Attribute("ent:tree", F.when(key > 1, F.floor(key / 2)).cast("long")), ":tree/size": Attribute("int", F.col("p_size").cast("long"))}),
         Relation("low", lambda: part().where(key <= 255), "p_partkey", {":low/parent": Attribute("ent:low", F.when(key > 1, F.floor(key / 2)).cast("long"))}),
         Relation("chain", part, "p_partkey", {":chain/next": Attribute("ent:chain", F.when(key % 50 != 0, key + 1).cast("long"))}),
+        Relation("line", part, "p_partkey", {":line/next": Attribute("ent:line", (key + 1).cast("long"))}),
         Relation("hop", lambda: spark.read.parquet(f"{folder}/nation.parquet"), "n_nationkey", {":hop/next": Attribute("ent:hop", ((F.col("n_nationkey") * 7 + 3) % 25).cast("long")), ":hop/number": Attribute("int", F.col("n_nationkey").cast("long")), ":hop/region": Attribute("int", F.col("n_regionkey").cast("long"))}),
     ]
     return Engine(spark, [*star_schema(spark, folder), *graphs])
@@ -37,6 +38,7 @@ def relations(spark: SparkSession, folder: str) -> Engine:
 
 TREE = "tree AS (SELECT p_partkey::BIGINT AS x, CASE WHEN p_partkey > 1 THEN p_partkey // 2 END::BIGINT AS y FROM part)"
 CHAIN = "chain AS (SELECT p_partkey::BIGINT AS x, (p_partkey + 1)::BIGINT AS y FROM part WHERE p_partkey % 50 <> 0)"
+LINE = "line AS (SELECT p_partkey::BIGINT AS x, (p_partkey + 1)::BIGINT AS y FROM part)"
 HOP = "hop AS (SELECT n_nationkey::BIGINT AS x, ((n_nationkey * 7 + 3) % 25)::BIGINT AS y FROM nation)"
 LIVE = "SELECT * FROM (SELECT x, y FROM {0}) WHERE y IS NOT NULL"
 
@@ -155,6 +157,7 @@ def _closure(edges: str, table: str) -> str:
 add("rule_tc", ":find ?x ?y :where (ancestor ?x ?y)", "x y", f"{_closure(TREE, 'tree')} SELECT x, y FROM r", ANCESTOR)
 add("rule_cycle", ":find ?x ?y :where (reach ?x ?y)", "x y", f"{_closure(HOP, 'hop')} SELECT x, y FROM r", REACH)
 add("rule_chain", ":find ?x (count ?y) :where (later ?x ?y)", "x n", f"{_closure(CHAIN, 'chain')} SELECT x, count(*) AS n FROM r GROUP BY x", LATER)
+add("rule_whole_chain", ":find ?x (count ?y) :where (later ?x ?y)", "x n", f"{_closure(LINE, 'line')} SELECT x, count(*) AS n FROM r GROUP BY x", tuple(r.replace(":chain/", ":line/") for r in LATER))
 add("rule_bound_bf", ":find ?y :where (ancestor :tree/150 ?y)", "y", f"{_closure(TREE, 'tree')} SELECT y FROM r WHERE x = 150", ANCESTOR)
 add("rule_bound_fb", ":find ?x :where (ancestor ?x :tree/5)", "x", f"{_closure(TREE, 'tree')} SELECT x FROM r WHERE y = 5", ANCESTOR)
 add("rule_bound_bb", ":find (count ?n) :where (ancestor :tree/150 :tree/4) [?x :region/name ?n]", "n", f"{_closure(TREE, 'tree')} SELECT CASE WHEN EXISTS (SELECT 1 FROM r WHERE x = 150 AND y = 4) THEN (SELECT count(*) FROM region) ELSE 0 END AS n", ANCESTOR)
@@ -172,6 +175,11 @@ add(
     f"WITH RECURSIVE {HOP}, {TREE}, e AS (SELECT x, y FROM tree WHERE x <= 255 AND y IS NOT NULL), r AS (SELECT a.x AS x, b.x AS y FROM e a JOIN e b ON a.y = b.y UNION SELECT a.x, b.x FROM r JOIN e a ON a.y = r.x JOIN e b ON b.y = r.y) SELECT x, count(*) AS n FROM r GROUP BY x",
     ("(edge ?x ?y) [?x :low/parent ?y]", "(sg ?x ?y) (edge ?x ?p) (edge ?y ?p)", "(sg ?x ?y) (edge ?x ?a) (sg ?a ?b) (edge ?y ?b)"),
 )
+add(
+    "rule_whole_generation", ":find ?x (count ?y) :where (sg ?x ?y)", "x n",
+    f"WITH RECURSIVE {TREE}, e AS (SELECT x, y FROM tree WHERE y IS NOT NULL), r AS (SELECT a.x AS x, b.x AS y FROM e a JOIN e b ON a.y = b.y UNION SELECT a.x, b.x FROM r JOIN e a ON a.y = r.x JOIN e b ON b.y = r.y) SELECT x, count(*) AS n FROM r GROUP BY x",
+    ("(edge ?x ?y) [?x :tree/parent ?y]", "(sg ?x ?y) (edge ?x ?p) (edge ?y ?p)", "(sg ?x ?y) (edge ?x ?a) (sg ?a ?b) (edge ?y ?b)"),
+)
 add("rule_agg", ":find ?y (count ?x) (max ?s) :where (ancestor ?x ?y) [?x :tree/size ?s]", "y n s", f"{_closure(TREE, 'tree')} SELECT r.y, count(*) AS n, max(p_size)::BIGINT AS s FROM r JOIN part ON p_partkey = r.x GROUP BY 1", ANCESTOR)
 
 # --- user functions and prepared queries -------------------------------------------------------------------------------
