@@ -29,7 +29,7 @@ def test_equals_sql(spark, folder, sql, name):
     pd.testing.assert_frame_equal(ordered(got), ordered(want), check_dtype=False, rtol=1e-9)
 
 
-@pytest.mark.parametrize(("name", "table", "least"), [("rule_whole_generation", "part", 2), ("rule_whole_chain", "part", 0)])
+@pytest.mark.parametrize(("name", "table", "least"), [("rule_whole_generation", "part", 2), ("rule_whole_chain", "part", 0), ("forget_whole", "events", 0)])
 def test_whole_tables(spark, folder, name, table, least):
     """Every row of the table is in the result (the two keys without a parent, 0 and 1, have no generation)."""
     assert catalogue.QUERIES[name](spark, folder).count() == spark.read.parquet(f"{folder}/{table}.parquet").count() - least

@@ -330,7 +330,16 @@ WITH ev AS (SELECT event_id, epoch_us(ts) // 1000 AS ms FROM events WHERE event_
 SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 1704672000000 ELSE 9223372036854775807 END AS ed FROM ev""")
 def forget_facts(spark: SparkSession, folder: str) -> DataFrame:
     """Facts of 50 events, valid from a day before the instant; those of even events are forgotten at the instant."""
-    events = spark.read.parquet(f"{folder}/events.parquet").where("event_id < 50")
+    return _forgotten(spark, spark.read.parquet(f"{folder}/events.parquet").where("event_id < 50"))
+
+
+@_named("forget_whole", "SELECT event_id AS id, CASE WHEN event_id % 2 = 0 THEN 1704672000000 ELSE 9223372036854775807 END AS ed FROM events")
+def forget_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """The same over all events."""
+    return _forgotten(spark, spark.read.parquet(f"{folder}/events.parquet"))
+
+
+def _forgotten(spark: SparkSession, events: DataFrame) -> DataFrame:
     engine = Engine.memory(spark, clock=lambda: _INSTANT)
     entity = keyword_entity(F.concat(F.lit(":event/"), F.col("event_id").cast("string")))
     engine.load(events.select(entity.alias("e"), F.lit(":event/id").alias("a"), struct(2, i=F.col("event_id")).alias("v"), F.lit(_INSTANT - DAY).alias("valid_from")))
