@@ -284,6 +284,15 @@ def test_any_page_gives_text(page):
     assert text == "\n\n".join(" ".join(b.split()) for b in text.split("\n\n") if b.strip())
 
 
+@pytest.mark.parametrize("around", ["article", "section"])
+def test_blocks_beside_the_best_container(around):
+    long = "A paragraph, with commas, that is long enough to count, and tells something of what the page is about, again and again."
+    inside = f"<h1>Title</h1><div class=body>{f'<p>{long}</p>' * 5}</div><ul><li>one</li><li>two</li></ul><blockquote>Said once.</blockquote><table><tr><td>cell</td></tr></table><pre>code</pre>"
+    links = "<ul><li><a href=a>Other page</a></li></ul>"
+    page = f"<body>{links}<{around}>{inside}</{around}>{links}</body>"
+    assert html_text.main_text(page).split("\n\n") == ["Title", *[long] * 5, "one", "two", "Said once.", "cell", "code"]
+
+
 # --- 9: mixing ---------------------------------------------------------------------------------------------------------
 
 

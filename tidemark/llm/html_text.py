@@ -4,8 +4,8 @@ A page is cut into tags and text and built into a tree of blocks, with the end t
 menus, headers, footers, sidebars, forms, notices, adverts and reader comments are cut off by tag, role, or class and id words. Every
 paragraph with text gives points (one, one for each comma, one for each 100 characters up to three) to its parent, half of them
 to its grandparent and a third and less to those above; a container's points are discounted by the share of its text inside links. The
-best container is kept with those siblings that score a fifth of it or are text paragraphs of few links. All blocks in what
-is kept are the text, in page order.
+best container stands for the article or main element around it, if there is one; else it is kept with those siblings that score a fifth of it,
+or are text paragraphs, headings, lists, quotations, tables, preformatted text or figures of few links. All blocks in what is kept are the text, in page order.
 
 White space inside a block is one space; blocks are joined by an empty line. Null and empty pages, and pages without text, give an empty
 text. Broken markup is read as browsers roughly do; nothing is cut off by length. Repeated rows are extracted each; an empty table gives
@@ -36,6 +36,8 @@ NAMES = frozenset(
     "replies share sharing sidebar signup social sponsor sponsored subscribe toolbar widget disclaimer gdpr alert".split()
 )
 PARAGRAPHS = frozenset("p pre td blockquote li dd section div article main body h1 h2 h3 h4 h5 h6 figcaption".split())
+#: Siblings of the best container that are kept whatever their points, if few of their letters stand in links.
+STANDING = frozenset("h1 h2 h3 h4 h5 h6 ul ol dl blockquote table pre figure".split())
 #: A start tag ends these open elements, not beyond the second set.
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "body": ("head", "html")}
@@ -225,12 +227,17 @@ def main_text(page: str) -> str:
         return "\n\n".join(blocks([root]))
     value = lambda x: x.points * (1 - _density(x)) * (1.25 if x.tag in ("article", "main") else 1)
     best = max(got, key=value)  # the first of equals
+    around = best
+    while around is not None and around.tag not in ("article", "main"):
+        around = around.parent
+    if around is not None:  # the whole article
+        return "\n\n".join(blocks([around]))
     kept = [best]
-    if best.parent is not None and best.tag not in ("article", "main", "body"):
+    if best.parent is not None and best.tag != "body":
         least = max(10.0, 0.2 * value(best))
         kept = []
         for x in best.parent.parts:
-            if x is best or isinstance(x, Node) and (value(x) >= least or x.tag == "p" and (x.length > 80 and _density(x) < 0.25 or 0 < x.length <= 80 and not x.linked)):
+            if x is best or isinstance(x, Node) and (value(x) >= least or x.tag == "p" and (x.length > 80 and _density(x) < 0.25 or 0 < x.length <= 80 and not x.linked) or x.tag in STANDING and x.length and _density(x) < 0.25):
                 kept.append(x)
     return "\n\n".join(blocks(kept))
 
