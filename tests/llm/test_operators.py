@@ -184,6 +184,12 @@ def test_toxicity(spark):
 
 
 
+def test_edits_in_stems_and_short_entries():
+    lexicon = toxicity.Lexicon([("vilen", True), ("vileness", False), ("scum", False)])
+    kinds = {w: [m[1:3] for m in lexicon.matches(w)] for w in ("vilenly", "vulenly", "vlenly", "vileness", "vulenezz", "scum", "skum", "skim")}
+    assert kinds == {"vilenly": [("vilen", 0)], "vulenly": [("vilen", 1)], "vlenly": [("vilen", 1)], "vileness": [("vileness", 0)], "vulenezz": [("vilen", 1)], "scum": [("scum", 0)], "skum": [("scum", 1)], "skim": []}
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").toPandas().set_index("doc_id")

@@ -4,11 +4,11 @@ Learning. From a bounded sample of labelled rows (SAMPLE_ROWS, those of the smal
 and word beginnings, how many toxic and other documents hold them. Words far more frequent in toxic documents become lexicon words;
 beginnings that many such words share become stems, which match every word that begins with them. The lexicon is bounded (LEXICON_ROWS).
 A second pass over the sample counts how often each kind of match (entry, edits, quoted or plain) stands in a toxic document; the smoothed
-share is that match's weight.
+share is that match's weight. Edits in stems and in entries of SHORT_LETTERS letters count by what exceeds the share of toxic documents.
 
 Matching. The lexicon is a trie. The automaton of all words within one edit of an entry is intersected with it lazily: a state is a set
-of (trie node, edits), steps are kept, so a word costs a few look-ups and most words die after two letters. Words under FUZZY_LETTERS
-letters and stems match without edits only.
+of (trie node, edits), steps are kept, so a word costs a few look-ups and most words die after two letters. Stems take
+one edit as well, before any ending. Words under SHORT_LETTERS letters match without edits only.
 
 Context. A match inside quotation marks or near a word of reporting is counted as quoted, and has a weight of its own, which is low
 unless labels say otherwise. Matches within WINDOW words of each other raise each other. A text's score is the noisy-or of its matches
@@ -40,7 +40,7 @@ SAMPLE_ROWS, LEXICON_ROWS = 20_000, 1_000
 LEAST_DOCS, LEAST_SHARE, LEAST_LIFT = 5, 0.005, 25.0
 #: Letters of stems; words that a stem must explain.
 STEM_LETTERS, STEM_WORDS = range(4, 9), 4
-FUZZY_LETTERS, WINDOW = 5, 12
+FUZZY_LETTERS, SHORT_LETTERS, WINDOW = 5, 4, 12
 #: Words of reporting, in the corpus' languages (a fixed list of this operator).
 REPORTING = frozenset("said says wrote writes called calls quoted quote claimed according sagte sagt schrieb nannte zitiert laut dit disait écrit appelé selon cite dijo dice escribió llamó según cita".split())
 QUOTES = re.compile(r"\"[^\"\n]{1,400}\"|“[^”\n]{1,400}”|«[^»\n]{1,400}»|„[^“”\n]{1,400}[“”]")
@@ -51,7 +51,9 @@ PREDICTED_AT = 0.3
 class FuzzyTrie:
     """The words within one edit of a lexicon: edit automata of all words at once, intersected with the trie of entries."""
 
-    def __init__(self, entries: Iterable[tuple[str, bool]]):
+    def __init__(self, entries: Iterable[tuple[str, bool]], least: int | None = None, stems: bool = False):
+        """Entries of `least` letters (FUZZY_LETTERS) and more take an edit; stems too, if wanted."""
+        self.least, self.edited = FUZZY_LETTERS if least is None else least, stems
         self.arcs: list[dict[str, int]] = [{}]
         self.ends: list[tuple[str, bool] | None] = [None]
         self.deep: list[int] = [0]  # the longest entry through a node, in letters
@@ -64,20 +66,21 @@ class FuzzyTrie:
                     self.ends.append(None)
                     self.deep.append(0)
                 at = self.arcs[at][c]
-                if not stem:
+                if self.edited or not stem:
                     self.deep[at] = max(self.deep[at], len(word))
             self.ends[at] = (word, stem)
         self.states: dict[frozenset, int] = {}
         self.sets: list[frozenset] = []
         self.steps: list[dict[str, int]] = []
         self.found: list[tuple | None] = []
+        self.begun: list[tuple | None] = []
         self.dead = self._state(frozenset())
         self.start = self._state(self._deletions({(0, 0)}))
         self.known: dict[str, tuple | None] = {}
 
     def _deletions(self, pairs: set[tuple[int, int]]) -> frozenset:
         """With the nodes reached by leaving out a letter of the entry, where an edit is left."""
-        more = {(child, 1) for node, edits in pairs if edits == 0 for child in self.arcs[node].values() if self.deep[child] >= FUZZY_LETTERS}
+        more = {(child, 1) for node, edits in pairs if edits == 0 for child in self.arcs[node].values() if self.deep[child] >= self.least}
         return frozenset(pairs | {p for p in more if (p[0], 0) not in pairs})
 
     def _state(self, pairs: frozenset) -> int:
@@ -86,7 +89,8 @@ class FuzzyTrie:
             self.sets.append(pairs)
             self.steps.append({})
             ends = sorted((edits, *self.ends[node]) for node, edits in pairs if self.ends[node])
-            self.found.append(next(((w, e, s) for e, w, s in ends if e == 0 or (not s and len(w) >= FUZZY_LETTERS)), None))
+            self.found.append(next(((w, e, s) for e, w, s in ends if not s and (e == 0 or len(w) >= self.least)), None))
+            self.begun.append(next(((w, e, s) for e, w, s in ends if s and (e == 0 or self.edited and len(w) >= self.least)), None))
         return self.states[pairs]
 
     def _step(self, state: int, c: str) -> int:
@@ -94,11 +98,11 @@ class FuzzyTrie:
         for node, edits in self.sets[state]:
             if c in self.arcs[node]:
                 child = self.arcs[node][c]
-                if edits == 0 or self.deep[child] >= FUZZY_LETTERS:
+                if edits == 0 or self.deep[child] >= self.least:
                     after.add((child, edits))
-            if edits == 0 and (node == 0 or self.deep[node] >= FUZZY_LETTERS):
+            if edits == 0 and (node == 0 or self.deep[node] >= self.least):
                 after.add((node, 1))  # a letter too many
-                after |= {(child, 1) for child in self.arcs[node].values() if self.deep[child] >= FUZZY_LETTERS}
+                after |= {(child, 1) for child in self.arcs[node].values() if self.deep[child] >= self.least}
         exact = {n for n, e in after if e == 0}
         to = self._state(self._deletions({(n, e) for n, e in after if e == 0 or n not in exact}))
         self.steps[state][c] = to
@@ -114,13 +118,11 @@ class FuzzyTrie:
             state = self._step(state, c) if to is None else to
             if state == self.dead:
                 break
-            found = self.found[state]
-            if found and found[2] and found[1] == 0:
-                stem = found
-        best = self.found[state] if state != self.dead else None
-        if best and best[2] and best is not stem:
-            best = None
-        if stem and (best is None or best[1] > 0):
+            begun = self.begun[state]
+            if begun and (stem is None or begun[1] <= stem[1]):
+                stem = begun
+        best = self.found[state]
+        if stem and (best is None or best[1] > stem[1]):
             best = stem
         if len(self.known) >= 100_000:
             self.known.clear()
@@ -135,6 +137,7 @@ class Lexicon:
     entries: list[tuple[str, bool]] = field(default_factory=list)
     weights: dict[tuple[str, int, bool], float] = field(default_factory=dict)
     base: float = 0.0
+    loose: dict[bool, float] = field(default_factory=dict)  # by quoted: the weight of edited stems and short entries that the sample doesn't show
     _trie: FuzzyTrie | None = None
 
     def __getstate__(self) -> dict:
@@ -143,7 +146,7 @@ class Lexicon:
     def matches(self, text: str) -> list[tuple[int, str, int, bool]]:
         """(word number, entry, edits, quoted) of each match in a text."""
         if self._trie is None:
-            self._trie = FuzzyTrie(self.entries)
+            self._trie = FuzzyTrie(self.entries, SHORT_LETTERS, stems=True)
         trie, low = self._trie, text.lower()
         words = WORD.findall(low)
         if not any(map(trie.match, set(words))):
@@ -159,7 +162,14 @@ class Lexicon:
         return out
 
     def weight(self, entry: str, edits: int, quoted: bool) -> float:
-        return self.weights.get((entry, edits, quoted), 0.1 if quoted else 0.5)
+        known = self.weights.get((entry, edits, quoted))
+        if known is None:
+            known = self.loose.get(quoted, 0.0) if self.is_loose(entry, edits) else 0.1 if quoted else 0.5
+        return known
+
+    def is_loose(self, entry: str, edits: int) -> bool:
+        """Whether a match is an edit in a stem or a short entry, which other words reach by chance."""
+        return edits > 0 and (len(entry) < FUZZY_LETTERS or (entry, True) in self.entries)
 
     def score(self, text: str) -> float:
         """0 to 1: the noisy-or of the base rate and the matches, raised by neighbours in the window."""
@@ -234,7 +244,7 @@ def learn(labelled: DataFrame) -> Lexicon:
         if support[word] >= 0.95 * max(shorter, default=0) and not any(s.startswith(word) and support[s] >= 0.95 * support[word] for s, _ in chosen):
             chosen.append((word, True))
     for r in good.where("not stem").join(contexts, "word").where(F.col("contexts") >= least).orderBy(F.desc("lift"), "word").limit(LEXICON_ROWS).collect():
-        if not any(r.word.startswith(s) for s, stem in chosen if stem):
+        if (r.word, True) not in chosen:
             chosen.append((r.word, False))
     lexicon = Lexicon(chosen)
     return _weighed(sample, lexicon, n_pos, n_neg)
@@ -259,9 +269,19 @@ def _weighed(sample: DataFrame, lexicon: Lexicon, n_pos: int, n_neg: int) -> Lex
         kinds[r.entry, r.edits, r.quoted][0 if r.toxic else 1] += r.n
     clean = kinds.pop(("", 0, False), [0, 0])
     lexicon.base = (clean[0] + 0.5) / (sum(clean) + 1.0) if sum(clean) else n_pos / (n_pos + n_neg)
+    rate = n_pos / (n_pos + n_neg)
+    excess = lambda share: max(0.0, (share - rate) / (1.0 - rate)) if rate < 1.0 else share
+    pooled = {}
+    for q in (False, True):
+        shown = [n for (entry, edits, quoted), n in kinds.items() if quoted == q and lexicon.is_loose(entry, edits)]
+        pooled[q] = (sum(n[0] for n in shown) + rate) / (sum(map(sum, shown)) + 1.0)
+        lexicon.loose[q] = excess(pooled[q])
     for (entry, edits, quoted), (pos, neg) in kinds.items():
         prior = 0.1 if quoted else 0.5  # as strong as one document
-        lexicon.weights[entry, edits, quoted] = (pos + prior) / (pos + neg + 1.0)
+        if lexicon.is_loose(entry, edits):  # what chance words show is taken off
+            lexicon.weights[entry, edits, quoted] = excess((pos + pooled[quoted]) / (pos + neg + 1.0))
+        else:
+            lexicon.weights[entry, edits, quoted] = (pos + prior) / (pos + neg + 1.0)
     return lexicon
 
 
