@@ -113,8 +113,9 @@ def test_documents_against_brute_force(spark):
 
 
 def test_linked_pairs_inside_a_crowd(spark, monkeypatch):
-    """Documents of one template are alike, but not enough; they fill windows that are small beside the crowd, and pairs are found all the same."""
-    monkeypatch.setattr(minhash, "WALKS", (1, 2))
+    """Documents of one template are alike, but not enough; they fill leaves and clusters that are small beside the crowd, and pairs are found all the same."""
+    monkeypatch.setattr(minhash, "LEAF_ROWS", 4)
+    monkeypatch.setattr(minhash, "CLUSTER_ROWS", 20)
     template = [f"t{k}" for k in range(48)]
     rows = []
     for k in range(1500):

@@ -5,48 +5,50 @@ shingles of `words` words (of all its words, if there are fewer). Documents whos
 the set; the smallest doc_id represents it, and only representatives go on.
 
 Forest. A signature has ORDERS x DEPTH values. Each order sorts all representatives by its own DEPTH values, dealt by range, so that a
-crowded region is spread over tasks. Rows that share at least LEAST_DEPTH values are in one region; inside it a row's nearest neighbours by
-longest common prefix stand next to it, so the depth at which two rows meet adapts to how crowded the region is. Each row is compared
-with a few rows before it by a sketch of NARROW four-bit values; pairs that agree on as many as similarity 0.8 would give, less 4.5 standard
-deviations, are candidates (a linked pair fails that with a probability of about 1e-5). Ends of partitions are compared in a small second pass.
-
-Links. Each representative's MOST_TRIED best candidates are confirmed on full sets, rebuilt from whole texts; confirmed links form components.
-Then the forest of rows that had a candidate is walked again, where only neighbours of different components and pairs not tried yet
-count, in wider walks (WALKS) by sharper sketches (WIDE) for rows whose nearest neighbours were near but not linked, until no candidate is left. Pairs inside a
-component can't change the result, so they needn't be tried.
-
-Rest. A forest finds neighbours with high probability only, so an exact join over all representatives follows. Shingles have one order for all
+crowded region is spread over tasks. Rows that share LEAST_DEPTH values are a region; while a region has more than LEAF_ROWS rows it is
+cut at the next value, so rows are compared with those of the longest common prefix, at a depth that adapts to how crowded the region is. All rows of a
+leaf are compared by sketches (the signature's values, four bits each); rows that agree in as many as similarity 0.8 would give, less
+4.5 standard deviations (a linked pair fails that with a probability of about 1e-5), are candidates. A leaf hands on its groups of
+candidates, one row for each member, never pairs. Regions at the ends of partitions are put together in a small second pass.
+
+Links. Candidates of all orders form clusters. A cluster's texts are sent to one task once, where all its rows are compared on full
+sets; rows of the largest component found so far needn't be compared with each other, so a crowd of linked copies costs little, and a crowd
+just under the threshold is compared in full.
+
+Rest. Rows whose region was cut deeper, and clusters of more than CLUSTER_ROWS rows or CLUSTER_SHINGLES shingles, go an exact way: clusters are compared
+in blocks of neighbours first, and then those rows are joined by shingles. Shingles have one order for all
 sets, rare ones first (counted in a sample of SAMPLE_DOCS documents; any order gives the same result, a good one fewer pairs). Two sets of the
 wanted similarity share one of the first n - ceil(n * similarity) + 1 shingles of their n, so those are dealt by shingle; pairs of different
-components that meet there, can still reach the similarity by their sizes and places, and haven't been tried, are confirmed on full sets,
-unless their signatures agree on far less than similarity 0.8 gives (LEAST_ALIKE).
+components that meet there and can still reach the similarity by their sizes and places are confirmed on full sets,
+unless their signatures agree on far less than similarity 0.8 gives (LEAST_ALIKE). A linked pair that shares LEAST_DEPTH values in no order is missed:
+(1 - 0.8 ** LEAST_DEPTH) ** ORDERS, 5e-6 at the threshold and less above, unless other links join it.
 
-Result. Documents of null or empty text have an empty set and are linked with nothing. Rows of one doc_id count as one document (the same
-component). Rows of null doc_id are linked with nothing: component_id null, kept true. An empty table gives an empty result. Columns other
+Result. Documents of null or empty text have an empty set and are linked with nothing. Each row is linked by its own set: rows of one doc_id
+with different texts can be in different components, named by the smallest doc_id among their rows. Rows of null doc_id are linked with nothing: component_id null, kept true. An empty table gives an empty result. Columns other
 than doc_id and text don't matter. Equal similarity to the threshold links.
 """
 
 from __future__ import annotations
 
 import functools
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from .common import bloom_joins, bounded_batches, mixed, slices, table, texts_of, written
 from .components import components
 
 ORDERS, DEPTH, LEAST_DEPTH = 12, 8, 2
-#: How many rows before it a row is compared with, walk after walk; and the pairs of a row that the first round confirms.
-WALKS, MOST_TRIED = (3, 64), 2
-#: Four-bit values in the sketches of the first walk and of the later ones.
-NARROW, WIDE = 64, 768
-#: Rows of the sorted orders, of signatures, and of texts that one task handles.
-ROWS_IN_A_TASK, SIGNATURES_IN_A_TASK, TEXTS_IN_A_TASK = 300_000, 10_000, 2_000
+#: A region of more rows is cut at the next value; rows of a leaf are all compared.
+LEAF_ROWS = 4_096
+#: What one task compares on full sets at once; larger clusters go the exact way.
+CLUSTER_ROWS, CLUSTER_SHINGLES = 8_192, 4_000_000
+#: Rows of the sorted orders, and of signatures, that one task handles.
+ROWS_IN_A_TASK, SIGNATURES_IN_A_TASK = 300_000, 10_000
 SLOTS = ORDERS * DEPTH
 #: Documents and shingles that the order of shingles is taken from.
 SAMPLE_DOCS, COMMON_SHINGLES = 20_000, 200_000
@@ -59,7 +61,7 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, size=256, dtype=np.uint64)
-_SLOT = _rng.integers(1, 1 << 63, size=SLOTS + WIDE, dtype=np.uint64) | np.uint64(1)
+_SLOT = _rng.integers(1, 1 << 63, size=SLOTS, dtype=np.uint64) | np.uint64(1)
 _BASE, _ODD = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -105,6 +107,12 @@ def shingle_sets(texts: list[str], words: int) -> list[np.ndarray]:
     return out
 
 
+def set_sums(s: np.ndarray) -> tuple[int, int]:
+    """Two sums of 64 bits that name a set."""
+    with np.errstate(over="ignore"):
+        return tuple(int(mixed(s, seed).sum(dtype=np.uint64).view(np.int64)) for seed in (1, 2))
+
+
 def _least(s: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """MinHash values of a set, one for each slot."""
     least = np.full(len(slots), np.iinfo(np.uint64).max, dtype=np.uint64)
@@ -116,7 +124,7 @@ def _least(s: np.ndarray, slots: np.ndarray) -> np.ndarray:
 
 def signature(s: np.ndarray) -> np.ndarray:
     """SLOTS values of 16 bits; of equal sets, equal."""
-    return (_least(s, _SLOT[:SLOTS]) >> np.uint64(48)).astype(np.uint16)
+    return (_least(s, _SLOT) >> np.uint64(48)).astype(np.uint16)
 
 
 def packed(values: np.ndarray) -> np.ndarray:
@@ -131,18 +139,6 @@ def least_agreeing(n: int, similarity: float = 0.8) -> int:
     return int(np.ceil(n * (p - 4.5 * np.sqrt(p * (1 - p) / n))))
 
 
-def wide_sketches(texts: DataFrame, words: int) -> DataFrame:
-    """id, sketch of WIDE values of rows id, text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in slices(t := texts_of(batch), 500_000):
-                rows = [packed(_least(s, _SLOT[SLOTS:])[None, :]).tobytes() for s in shingle_sets(t[a:b], words)]
-                yield pa.RecordBatch.from_arrays([batch.column("id").slice(a, b - a), pa.array(rows, pa.binary())], names=["id", "sketch"])
-
-    return texts.select("id", "text").mapInArrow(run, "id long, sketch binary")
-
-
 _SIGNED = "doc_id long, n_shingles long, f1 long, f2 long, sig binary"
 
 
@@ -155,8 +151,7 @@ def signatures(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
             texts, ids = texts_of(batch, "text"), batch.column("doc_id")
             for a, b in slices(texts, 500_000):
                 sets = shingle_sets(texts[a:b], words)
-                with np.errstate(over="ignore"):
-                    sums = [[int(mixed(s, seed).sum(dtype=np.uint64).view(np.int64)) for s in sets] for seed in (1, 2)]
+                sums = list(zip(*map(set_sums, sets), strict=True))
                 sigs = [signature(s).tobytes() if len(s) else None for s in sets]
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(sums[0], pa.int64()), pa.array(sums[1], pa.int64()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "f1", "f2", "sig"])
 
@@ -164,13 +159,17 @@ def signatures(docs: DataFrame, words: int, text: str = "text") -> DataFrame:
 
 
 _KEY = ["tree", "hi", "lo", "id"]
-_ROW = "tree int, hi long, lo long, id long, comp long, sketch binary"
-_FOUND = f"a long, b long, agrees int, side int, {_ROW}"
+_ROW = "tree int, hi long, lo long, id long, n long, sketch binary"
+_FOUND = f"kind int, root long, {_ROW}"
+_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+#: Kinds of what the forest gives: id is in the group of root; id stands in a region that was cut; a row at an end of a partition; the
+#: region (tree, hi) goes on as one that was cut.
+JOINED, CROWDED, END, CUT = 0, 1, 2, 3
 _LOW = np.uint64(0x1111111111111111)
 
 
 def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each signature and order: its values in two longs, the row's id and component, and its sketch (from the signature, if it has none)."""
+    """For each signature and order: its values in two longs, the row's id, the size of its set, and its sketch."""
     for batch in batches:
         n = batch.num_rows
         if not n:
@@ -179,10 +178,10 @@ def _forest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fours = sig.reshape(n, ORDERS, 2, 4).astype(np.uint64)
         keys = fours[..., 0] << np.uint64(48) | fours[..., 1] << np.uint64(32) | fours[..., 2] << np.uint64(16) | fours[..., 3]
         flat = keys.view(np.int64).reshape(n * ORDERS, 2)
-        sketch = batch.column("sketch") if "sketch" in batch.schema.names else pa.array([r.tobytes() for r in packed(sig[:, :NARROW])], pa.binary())
+        sketch = pa.array([r.tobytes() for r in packed(sig)], pa.binary())
         each = pa.array(np.repeat(np.arange(n), ORDERS))
-        columns = [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)), *(c.take(each) for c in (batch.column("id"), batch.column("comp"), sketch))]
-        yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "comp", "sketch"])
+        columns = [pa.array(np.tile(np.arange(ORDERS, dtype=np.int32), n)), *(pa.array(np.ascontiguousarray(flat[:, k])) for k in (0, 1)), *(c.take(each) for c in (batch.column("id"), batch.column("n"), sketch))]
+        yield pa.RecordBatch.from_arrays(columns, names=[*_KEY, "n", "sketch"])
 
 
 def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -192,59 +191,244 @@ def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 16 * x.shape[1] - np.bitwise_count(d).sum(axis=1).astype(np.int64)
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch], walk: int) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by order and values: candidate pairs (side 0), and the first and last `walk` rows of the partition (side 1)."""
+def grouped(m: int, near: Callable[[int], np.ndarray]) -> np.ndarray:
+    """The least row number of each row's group, for m rows; near(i) gives the rows linked with row i, itself included.
+
+    After a few rows the largest group so far is fixed, and its rows are asked no more: whatever they are linked with outside it is asked itself.
+    """
+    label = np.arange(m)
+    home = -1
+    for i in range(m):
+        if home >= 0 and label[i] == label[home]:
+            continue
+        met = np.unique(label[near(i)])
+        if len(met) > 1:
+            label[np.isin(label, met)] = met[0]
+        if i == min(7, m - 1):
+            home = int(np.bincount(label).argmax())
+    return label
+
+
+def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least row number of each row's group, for n rows and the links a - b."""
+    label = np.arange(n)
+    while len(a):
+        least = np.minimum(label[a], label[b])
+        np.minimum.at(label, a, least)
+        np.minimum.at(label, b, least)
+        label = label[label]
+        open_ = label[a] != label[b]
+        if not open_.any():
+            break
+        a, b = np.concatenate([a, label[a[open_]]]), np.concatenate([b, label[b[open_]]])
+    return label
+
+
+class _Leaves:
+    """Compares rows of whole regions by sketches."""
+
+    def __init__(self, percent: int, most: int):
+        self.percent, self.least, self.most = percent, least_agreeing(SLOTS, percent / 100), most
+
+    def alike(self, x: slice | np.ndarray, y: slice | np.ndarray) -> np.ndarray:
+        """Whether rows can be similar enough, by their sizes and sketches."""
+        n, m = self.n[x], self.n[y]
+        return (agreeing(self.sketch[x], self.sketch[y]) >= self.least) & (100 * np.minimum(n, m) >= self.percent * np.maximum(n, m))
+
+    def run(self, rows: pa.Table, cut: Callable[[int, int], bool]) -> Iterator[pa.RecordBatch]:
+        """Groups of candidates; cut(tree, region) says that a region was cut elsewhere."""
+        tree, self.hi, self.lo, ids, self.n = (rows.column(c).to_numpy() for c in (*_KEY, "n"))
+        size = len(ids)
+        self.hi, self.lo = self.hi.view(np.uint64), self.lo.view(np.uint64)
+        self.sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.int64).reshape(size, -1)
+        region = self.hi >> np.uint64(64 - 16 * LEAST_DEPTH)
+        begins = np.nonzero(np.concatenate([[True], (tree[1:] != tree[:-1]) | (region[1:] != region[:-1])]))[0]
+        sizes = np.diff(begins, append=size)
+        label = np.arange(size)
+        crowded = np.zeros(size, dtype=bool)
+        few = min(16, self.most)
+        rank = np.arange(size) - np.repeat(begins, sizes)
+        x = np.nonzero((rank > 0) & np.repeat(sizes <= few, sizes))[0]
+        links = []
+        for d in range(1, few):
+            x = x[rank[x] >= d]
+            if not len(x):
+                break
+            links.append(x[self.alike(x, x - d)])
+            links[-1] = np.stack([links[-1], links[-1] - d])
+        if links:
+            label = _joined(size, *np.concatenate(links, axis=1))
+        for a, m in zip(begins.tolist(), sizes.tolist(), strict=True):
+            over = m > self.most or cut(int(tree[a]), int(region[a]))
+            crowded[a : a + m] = over
+            if m > few:
+                for x, y in self.leaves(a, a + m, LEAST_DEPTH) if m > self.most else [(a, a + m)]:
+                    label[x:y] = x + grouped(y - x, lambda i, x=x, y=y: np.nonzero(self.alike(np.array([x + i]), slice(x, y)))[0])
+        least = np.full(size, np.iinfo(np.int64).max)
+        np.minimum.at(least, label, ids)
+        root = least[label]
+        for kind, of in ((JOINED, root != ids), (CROWDED, crowded)):
+            if len(at := np.nonzero(of)[0]):
+                yield _found(kind, pa.array(root[at]), *(pa.nulls(len(at), t) for t in _TYPES[:3]), pa.array(ids[at]), *(pa.nulls(len(at), t) for t in _TYPES[4:]))
+
+    def leaves(self, a: int, b: int, depth: int) -> Iterator[tuple[int, int]]:
+        """Rows a..b cut at the next values until no part has too many rows; what agrees in all values is cut in blocks."""
+        if b - a <= self.most:
+            yield a, b
+        elif depth == DEPTH:
+            yield from ((x, min(b, x + self.most)) for x in range(a, b, self.most))
+        else:
+            values, k = (self.hi, depth) if depth < 4 else (self.lo, depth - 4)
+            value = values[a:b] >> np.uint64(48 - 16 * k)
+            at = [0, *(np.nonzero(value[1:] != value[:-1])[0] + 1).tolist(), b - a]
+            for x, y in zip(at[:-1], at[1:], strict=True):
+                yield from self.leaves(a + x, a + y, depth + 1)
+
+
+def _found(kind: int, root: pa.Array, *columns: pa.Array) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.full(len(root), kind, np.int32)), root, *columns], names=["kind", "root", *_KEY, "n", "sketch"])
+
+
+def _groups(batches: Iterator[pa.RecordBatch], percent: int, most: int, whole: bool) -> Iterator[pa.RecordBatch]:
+    """Over rows sorted by order and values: groups of candidates. The first and the last region of a partition can go on in another, so
+    unless regions are whole they are handed on; those too large for that are cut here, and the region is named instead."""
+    leaves = _Leaves(percent, most)
+    cut: set[tuple[int, int]] = set()
     shift = np.uint64(64 - 16 * LEAST_DEPTH)
-    held, begun = None, 0
 
-    def pairs(a: np.ndarray, b: np.ndarray, agrees: np.ndarray) -> pa.RecordBatch:
-        nothing = [pa.nulls(len(a), t) for t in (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(agrees.astype(np.int32)), pa.array(np.zeros(len(a), np.int32)), *nothing], names=["a", "b", "agrees", "side", *_KEY, "comp", "sketch"])
+    def region(rows: pa.Table, at: int) -> tuple[int, int]:
+        return rows.column("tree")[at].as_py(), int(np.uint64(rows.column("hi")[at].as_py() & (1 << 64) - 1) >> shift)
+
+    def bounds(rows: pa.Table) -> np.ndarray:
+        tree, hi = rows.column("tree").to_numpy(), rows.column("hi").to_numpy().view(np.uint64) >> shift
+        return np.nonzero((tree[1:] != tree[:-1]) | (hi[1:] != hi[:-1]))[0] + 1
 
-    def ends(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        n = rows.num_rows
-        nothing = [pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-        made = pa.table([*nothing, pa.array(np.ones(n, np.int32)), *rows.columns], names=["a", "b", "agrees", "side", *_KEY, "comp", "sketch"])
-        yield from made.combine_chunks().to_batches()
+    def end(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        if rows.num_rows > most:
+            first = rows.slice(0, 1).combine_chunks()
+            yield _found(CUT, pa.nulls(1, pa.int64()), *(first.column(k).chunk(0) if k < 2 else pa.nulls(1, t) for k, t in enumerate(_TYPES)))
+            yield from leaves.run(rows, lambda *_: True)
+        elif rows.num_rows:
+            rows = rows.combine_chunks()
+            yield _found(END, pa.nulls(rows.num_rows, pa.int64()), *(c.chunk(0) for c in rows.columns))
 
+    held: list[pa.RecordBatch] = []
+    n_held, first = 0, not whole
     for batch in batches:
+        if whole and batch.num_rows:
+            marks = pc.is_null(batch.column("id"))
+            named = pa.Table.from_batches([batch.filter(marks)])
+            cut |= {region(named, k) for k in range(named.num_rows)}
+            batch = batch.filter(pc.invert(marks))
         if not batch.num_rows:
             continue
-        new = pa.Table.from_batches([batch])
-        if begun < walk:
-            head = new.slice(0, walk - begun)
-            begun += head.num_rows
-            yield from ends(head)
-        old = held.num_rows if held is not None else 0
-        rows = (pa.concat_tables([held, new]) if old else new).combine_chunks()
-        n = rows.num_rows
-        tree, hi, ids, comp = (rows.column(c).to_numpy() for c in ("tree", "hi", "id", "comp"))
-        region = hi.view(np.uint64) >> shift
-        sketch = np.frombuffer(b"".join(rows.column("sketch").to_pylist()), dtype=np.int64).reshape(n, -1)
-        least = least_agreeing(16 * sketch.shape[1])
-        for d in range(1, walk + 1):
-            x = np.arange(max(d, old), n)
-            x = x[(tree[x] == tree[x - d]) & (region[x] == region[x - d]) & (comp[x] != comp[x - d])]
-            if not len(x):
-                continue
-            agrees = agreeing(sketch[x], sketch[x - d])
-            x, agrees = x[agrees >= least], agrees[agrees >= least]
-            if len(x):
-                yield pairs(np.minimum(ids[x], ids[x - d]), np.maximum(ids[x], ids[x - d]), agrees)
-        held = rows.slice(max(0, n - walk))
-    if held is not None:
-        yield from ends(held)
-
-
-def candidates(signed: DataFrame, walk: int, count: int) -> DataFrame:
-    """a, b, agrees of the candidate pairs of rows (id, comp, sig, maybe sketch; so many) whose components differ."""
-    compare = functools.partial(_neighbours, walk=walk)
-    n = 4 + count * ORDERS // ROWS_IN_A_TASK
-    found = signed.mapInArrow(_forest_rows, _ROW).repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY).mapInArrow(compare, _FOUND)
-    found = written(found, "neighbours")
-    ends = found.where("side = 1").select(*_KEY, "comp", "sketch").dropDuplicates(_KEY)  # a few rows of each partition
-    across = ends.repartition(1).sortWithinPartitions(*_KEY).mapInArrow(compare, _FOUND)
-    return found.unionByName(across).where("side = 0").groupBy("a", "b").agg(F.max("agrees").alias("agrees")).coalesce(n)
+        held.append(batch)
+        n_held += batch.num_rows
+        if n_held < 20_000:
+            continue
+        rows = pa.Table.from_batches(held).combine_chunks()
+        at = bounds(rows)
+        if len(at) > first:
+            start = int(at[0]) if first else 0
+            if first:
+                yield from end(rows.slice(0, start))
+                first = False
+            yield from leaves.run(rows.slice(start, int(at[-1]) - start), lambda *r: r in cut)
+            rows = rows.slice(int(at[-1]))
+        held, n_held = rows.to_batches(), 0
+    if not held:
+        return
+    rows = pa.Table.from_batches(held).combine_chunks()
+    if whole:
+        yield from leaves.run(rows, lambda *r: r in cut)
+        return
+    at = bounds(rows)
+    start, stop = (int(at[0]) if first and len(at) else 0), (int(at[-1]) if len(at) else 0)
+    if first and len(at):
+        yield from end(rows.slice(0, start))
+    if stop > start:
+        yield from leaves.run(rows.slice(start, stop - start), lambda *r: r in cut)
+    yield from end(rows.slice(stop))
+
+
+def candidates(sigs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (id, n, sig): id, root of the groups of candidates in each leaf, and the ids of rows whose region was cut."""
+    n = 4 + sigs.count() * ORDERS // ROWS_IN_A_TASK
+    dealt = sigs.mapInArrow(_forest_rows, _ROW).repartitionByRange(n, *_KEY).sortWithinPartitions(*_KEY)
+    found = written(dealt.mapInArrow(functools.partial(_groups, percent=percent, most=LEAF_ROWS, whole=False), _FOUND), "forest")
+    region = F.shiftrightunsigned("hi", 64 - 16 * LEAST_DEPTH)
+    ends = found.where(F.col("kind") >= END).select(*_KEY, "n", "sketch")
+    ends = ends.repartition("tree", region).sortWithinPartitions("tree", region, F.col("id").isNotNull(), "hi", "lo", "id")
+    found = found.unionByName(written(ends.mapInArrow(functools.partial(_groups, percent=percent, most=LEAF_ROWS, whole=True), _FOUND), "ends"))
+    return found.where(F.col("kind") == JOINED).select("id", "root"), found.where(F.col("kind") == CROWDED).select("id").distinct()
+
+
+def united(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """The least row number of each set's component; all sets are compared but those known to be of one component."""
+    order = np.argsort([len(s) for s in sets], kind="stable")
+    size = np.array([len(s) for s in sets])[order]
+    first = np.concatenate([[0], np.cumsum(size)])
+    shingle, token = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)
+    mark = np.zeros(len(shingle), dtype=np.uint8)
+
+    def near(i: int) -> np.ndarray:
+        own = token[first[i] : first[i + 1]]
+        a = int(np.searchsorted(100 * size, percent * size[i]))  # sets of other sizes can't be similar enough
+        b = int(np.searchsorted(percent * size, 100 * size[i], "right"))
+        mark[own] = 1
+        both = np.add.reduceat(mark[token[first[a] : first[b]]], first[a:b] - first[a], dtype=np.int64)
+        mark[own] = 0
+        return a + np.nonzero(100 * both >= percent * (size[a:b] + size[i] - both))[0]
+
+    label = grouped(len(sets), near)
+    least = np.full(len(sets), len(sets))
+    np.minimum.at(least, label, order)
+    out = np.empty(len(sets), dtype=np.int64)
+    out[order] = least[label]
+    return out
+
+
+_MEMBER = "node long, rep long, f1 long, f2 long, cluster long, text string"
+
+
+def compared(members: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, rep, root, least of members (_MEMBER) sorted by cluster in each partition: the least node and the least rep of each component in a
+    cluster. A cluster too large for one task is compared in blocks of neighbours."""
+
+    def flush(ids: list[tuple[int, int]], sets: list[np.ndarray]) -> pa.RecordBatch:
+        node, rep = (np.array([i[k] for i in ids], dtype=np.int64) for k in (0, 1))
+        label = united(sets, percent)
+        columns = [node, rep]
+        for of in (node, rep):
+            least = np.full(len(ids), np.iinfo(np.int64).max)
+            np.minimum.at(least, label, of)
+            columns.append(least[label])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["node", "rep", "root", "least"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids: list[tuple[int, int]] = []
+        sets: list[np.ndarray] = []
+        seen: set[int] = set()
+        held, total = None, 0
+        for batch in batches:
+            node, rep, f1, f2, cluster = (batch.column(c).to_pylist() for c in ("node", "rep", "f1", "f2", "cluster"))
+            for x, y in slices(texts := texts_of(batch), 500_000):
+                for i, s in zip(range(x, y), shingle_sets(texts[x:y], words), strict=True):
+                    if node[i] in seen and cluster[i] == held or set_sums(s) != (f1[i], f2[i]):
+                        continue  # a repeated row, or another text of the same doc_id
+                    if ids and (cluster[i] != held or len(ids) == CLUSTER_ROWS or total + len(s) > CLUSTER_SHINGLES):
+                        yield flush(ids, sets)
+                        ids, sets, total = [], [], 0
+                        if cluster[i] != held:
+                            seen.clear()
+                    ids.append((node[i], rep[i]))
+                    sets.append(s)
+                    seen.add(node[i])
+                    held, total = cluster[i], total + len(s)
+        if ids:
+            yield flush(ids, sets)
+
+    return members.mapInArrow(run, "node long, rep long, root long, least long")
 
 
 def confirmed(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -389,55 +573,77 @@ def alike(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(end("a"), "a").join(end("b"), "b").mapInArrow(run, "a long, b long")
 
 
+def _classes(signed: DataFrame) -> DataFrame:
+    """node, rep, f1, f2, n, sig of the distinct sets: rep is the smallest doc_id, and names the class unless it holds several sets."""
+    some = 6 + signed.count() // SIGNATURES_IN_A_TASK
+    usable = signed.where("n_shingles > 0 and doc_id is not null")
+    classes = usable.groupBy("f1", "f2", F.col("n_shingles").alias("n")).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"))  # equal sets, equal signatures
+    classes = written(classes.coalesce(some), "classes")
+    several = classes.groupBy("rep").agg(F.count("*").alias("sets"), F.min(F.struct("f1", "f2")).alias("least")).where("sets > 1").drop("sets")
+    if several.isEmpty():
+        return classes.withColumn("node", F.col("rep"))
+    named = classes.join(several, "rep", "left")
+    return written(named.withColumn("node", F.when(F.coalesce(F.col("least") == F.struct("f1", "f2"), F.lit(True)), F.col("rep")).otherwise(F.xxhash64("f1", "f2", "rep"))).drop("least"), "classes")
+
+
+def _own(members: DataFrame, words: int) -> DataFrame:
+    """One row of each node, of a text that gives its set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            f1, f2 = batch.column("f1").to_pylist(), batch.column("f2").to_pylist()
+            for a, b in slices(t := texts_of(batch), 500_000):
+                own = [set_sums(s) == (f1[i], f2[i]) for i, s in zip(range(a, b), shingle_sets(t[a:b], words), strict=True)]
+                yield batch.slice(a, b - a).filter(pa.array(own))
+
+    return members.mapInArrow(run, members.schema).dropDuplicates(["node"])
+
+
+def _rest(members: DataFrame, links: DataFrame, sigs: DataFrame, words: int, percent: int) -> DataFrame:
+    """node, root of links that join members (_MEMBER, where cluster can be null) of different components, by blocks and the exact join; known links come along."""
+    for order in range(2):  # blocks of neighbours in two orders of the forest join most rows of a large cluster
+        key = F.substring("sig", 1 + 2 * DEPTH * order, 2 * DEPTH)
+        near = members.where("cluster is not null").join(sigs.select(F.col("id").alias("node"), "sig"), "node").withColumn("key", key)
+        near = near.repartitionByRange("cluster", "key", "node").sortWithinPartitions("cluster", "key", "node").select(*members.columns)
+        links = links.unionByName(compared(near, words, percent).where("node != root").select("node", "root"))
+    links = written(links, "blocks")
+    texts = members.select(F.col("node").alias("id"), "text")
+    of = written(texts.select("id").join(components(links, "node", "root"), "id", "left").select("id", F.coalesce("component", "id").alias("comp")), "components")
+    pairs = written(alike(meeting(texts, of, words, percent, common_shingles(texts, words, texts.count())), sigs), "rest")
+    return links.unionByName(confirmed(pairs, texts, words, percent).where("linked").select(F.col("a").alias("node"), F.col("b").alias("root")))
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row; one row of each component, its smallest doc_id, is kept."""
-    bounded_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    bounded_batches(spark)
     signed = written(signatures(docs, words, text), "signatures")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    some = 6 + signed.count() // SIGNATURES_IN_A_TASK
-    classes = written(usable.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep")).coalesce(some), "classes")
-    reps = classes.select(F.col("rep").alias("id")).distinct()
-    sigs = usable.select(F.col("doc_id").alias("id"), "sig").join(reps, "id", "left_semi").dropDuplicates(["id"])
-    sigs = written(sigs.coalesce(some), "representatives")
-    pairs = written(candidates(sigs.withColumn("comp", F.col("id")), WALKS[0], sigs.count()), "candidates")
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    involved = written(involved.coalesce(4 + pairs.count() // ROWS_IN_A_TASK), "involved").where(F.col("id") > F.lit(-(1 << 63)))
-    n_near = involved.count()
-    parts, text_parts = 4 + n_near * ORDERS // ROWS_IN_A_TASK, 4 + n_near // TEXTS_IN_A_TASK
-    near = sigs.join(involved, "id", "left_semi")
-    every = docs.select(F.col("doc_id").cast("long").alias("id"), F.col(text).alias("text"))
-    with bloom_joins(docs.sparkSession):  # few texts have a candidate; the filter keeps the others out of the shuffle
-        texts = written(every.join(involved, "id").dropDuplicates(["id"]).coalesce(text_parts), "texts")
-    near = written(near.join(wide_sketches(texts, words), "id").coalesce(text_parts), "near")
-    ranked = pairs.withColumn("ra", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("agrees"), "b"))).coalesce(parts)
-    ranked = ranked.withColumn("rb", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("agrees"), "a"))).coalesce(parts)
-    pairs = written(ranked.where((F.col("ra") <= MOST_TRIED) | (F.col("rb") <= MOST_TRIED)).select("a", "b"), "chosen")
-    of, tried = near.select("id", F.col("id").alias("component")), None
-
-    def united(of: DataFrame, verdicts: DataFrame, parts: int) -> DataFrame:
-        """The components with the links between them; what they join is small, however many links a component has inside."""
-        end = lambda c: of.select(F.col("id").alias(c), F.col("component").alias(f"of_{c}"))
-        between = verdicts.where("linked").join(end("a"), "a").join(end("b"), "b").select("of_a", "of_b").where("of_a != of_b").coalesce(parts)
-        joined = components(between, "of_a", "of_b").select(F.col("id").alias("component"), F.col("component").alias("least"))
-        return written(of.join(joined, "component", "left").select("id", F.coalesce("least", "component").alias("component")).coalesce(parts), "components")
-
-    while not pairs.isEmpty():
-        verdicts = written(confirmed(pairs, texts, words, percent).coalesce(text_parts), "verdicts")
-        tried = verdicts.select("a", "b") if tried is None else tried.unionByName(verdicts.select("a", "b"))
-        of = united(of, verdicts, parts)
-        comp = near.join(of, "id").select("id", "sig", "sketch", F.col("component").alias("comp")).coalesce(parts)
-        pairs = written(candidates(comp, WALKS[1], n_near).join(tried, ["a", "b"], "left_anti").coalesce(parts), "candidates")
-    of = written(sigs.select("id").join(of, "id", "left").select("id", F.coalesce("component", "id").alias("component")).coalesce(some), "components")
-    rest = meeting(every, of.withColumnRenamed("component", "comp"), words, percent, common_shingles(every, words, signed.count()))
-    rest = written(alike(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), sigs), "rest")
+    classes = _classes(signed)
+    sigs = classes.select(F.col("node").alias("id"), "n", "sig")
+    links, crowded = candidates(sigs, percent)
+    near = components(links, "id", "root").withColumnsRenamed({"id": "node", "component": "cluster"})
+    near = written(classes.drop("sig").join(near, "node"), "near")
+    large = near.groupBy("cluster").agg(F.count("*").alias("members"), F.sum("n").alias("shingles")).where((F.col("members") > CLUSTER_ROWS) | (F.col("shingles") > CLUSTER_SHINGLES)).select("cluster")
+    every = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text"))
+
+    def members(rows: DataFrame) -> DataFrame:
+        with bloom_joins(spark):  # few texts have a candidate; the filter keeps the others out of the shuffle
+            return written(every.join(rows.select("node", "rep", "f1", "f2", "cluster"), "rep").select("node", "rep", "f1", "f2", "cluster", "text"), "members")
+
+    together = members(near.join(large, "cluster", "left_anti"))
+    of = written(compared(together.repartition("cluster").sortWithinPartitions("cluster"), words, percent), "compared")
+    rest = near.join(large, "cluster").select("node", "cluster").unionByName(crowded.select(F.col("id").alias("node"), F.lit(None).cast("long").alias("cluster")))
+    rest = written(rest.groupBy("node").agg(F.max("cluster").alias("cluster")), "rest")
     if not rest.isEmpty():
-        involved = written(rest.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "involved").where(F.col("id") > F.lit(-(1 << 63)))
-        with bloom_joins(docs.sparkSession):
-            texts = written(every.join(involved, "id").dropDuplicates(["id"]), "texts")
-        of = united(of, written(confirmed(rest, texts, words, percent), "verdicts"), some)
-    classes = classes.join(of.withColumnRenamed("id", "rep"), "rep", "left").select("f1", "f2", "n_shingles", F.coalesce("component", "rep").alias("component_id"))
-    slim = signed.select("doc_id", "n_shingles", "f1", "f2")
-    out = slim.join(classes, ["f1", "f2", "n_shingles"], "left")
+        links = of.where("node != root").select("node", "root")
+        rest = written(_own(members(classes.drop("sig").join(rest, "node")), words), "rest")
+        of = components(_rest(rest, links, sigs, words, percent), "node", "root").join(classes.select(F.col("node").alias("id"), "rep"), "id")
+        of = written(of.select(F.col("id").alias("node"), "rep", F.col("component").alias("root")), "components")
+        of = of.join(of.groupBy("root").agg(F.min("rep").alias("least")), "root")
+    of = of.select("node", "least")
+    classes = classes.select("node", "f1", "f2", F.col("n").alias("n_shingles"), "rep").join(of, "node", "left")
+    classes = classes.select("f1", "f2", "n_shingles", F.coalesce("least", "rep").alias("component_id"))
+    out = signed.select("doc_id", "n_shingles", "f1", "f2").join(classes, ["f1", "f2", "n_shingles"], "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
