@@ -213,14 +213,11 @@ def _joined(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The least row number of each row's group, for n rows and the links a - b."""
     label = np.arange(n)
     while len(a):
-        least = np.minimum(label[a], label[b])
-        np.minimum.at(label, a, least)
-        np.minimum.at(label, b, least)
-        label = label[label]
-        open_ = label[a] != label[b]
-        if not open_.any():
-            break
-        a, b = np.concatenate([a, label[a[open_]]]), np.concatenate([b, label[b[open_]]])
+        a, b = label[a], label[b]
+        a, b = a[a != b], b[a != b]
+        np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))  # roots below smaller roots
+        while not np.array_equal(up := label[label], label):
+            label = up
     return label
 
 
