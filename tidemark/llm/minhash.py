@@ -624,8 +624,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, text: st
     every = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col(text).alias("text"))
 
     def members(rows: DataFrame) -> DataFrame:
-        with bloom_joins(spark):  # few texts have a candidate; the filter keeps the others out of the shuffle
-            return written(every.join(rows.select("node", "rep", "f1", "f2", "cluster"), "rep").select("node", "rep", "f1", "f2", "cluster", "text"), "members")
+        rows = written(rows.select("node", "rep", "f1", "f2", "cluster"), "chosen").where(F.col("rep") > F.lit(-(1 << 63)))
+        with bloom_joins(spark):  # few texts have a candidate; the filter keeps the others out of the shuffle (Spark wants a condition on the filtered side)
+            return written(every.join(rows, "rep").select("node", "rep", "f1", "f2", "cluster", "text"), "members")
 
     together = members(near.join(large, "cluster", "left_anti"))
     of = written(compared(together.repartition("cluster").sortWithinPartitions("cluster"), words, percent), "compared")
