@@ -263,6 +263,22 @@ def test_token_counts_equal_the_library(documents):
     assert token_counts.Counter(file).count(texts) == want
 
 
+def test_token_counts_through_both_joins(spark, documents, monkeypatch):
+    """A heavy table of few entries, so that most pre-tokens are joined by the shuffle; a hot pre-token that is named by its hash, and a huge one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_counts, "HEAVY_TOKENS", 20)
+    file = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [*documents["text"], "", None, "a<|endoftext|>b <|endoftext|>", "日本語 😀 ¼½", "x" * 200_000, *(f"{'=' * 90} {k}" for k in range(300))]
+    want = [len(e) for e in Tokenizer.from_file(file).encode_batch([t or "" for t in texts], add_special_tokens=False)]
+    df = spark.createDataFrame([(k % 7, k, t) for k, t in enumerate(texts)], "doc_id long, _row long, text string")
+    for keep in (True, False):
+        got = {r._row: r for r in token_counts.count_tokens(df, file, keep_text=keep).collect()}
+        assert [got[k].n_tokens for k in range(len(texts))] == want and ("text" in got[0]) == keep
+    assert got[len(documents) + 4].n_bytes == 200_000
+
+
 # --- 7: pages ----------------------------------------------------------------------------------------------------------
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body>
@@ -401,7 +417,7 @@ def test_query_digests(spark, folder, documents):
         payload = matroska.padded(texts[r.doc_id].encode())
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id].encode()), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
         assert r.media_bytes == len(matroska.write_media(payload)) and json.dumps(r.feature)
-    counts = queries.QUERIES["op8_token_counts"](spark, folder).toPandas().set_index("doc_id")
+    counts = queries.QUERIES["op8_token_counts"](spark, folder).toPandas().set_index("doc_id").loc[texts.index]
     assert (counts.over_limit == (counts.n_tokens > 1024)).all() and (counts.n_bytes == texts.map(lambda t: len(t.encode()))).all()
     assert queries.QUERIES["op6_sentencepiece"](spark, folder).where("not round_trip").count() == 0
     pages = spark.read.parquet(f"{folder}/pages.parquet").count()
