@@ -3,6 +3,7 @@
 import hashlib
 import json
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -316,6 +317,65 @@ def test_blocks_beside_the_best_container(around):
     assert html_text.main_text(page).split("\n\n") == ["Title", *[long] * 5, "one", "two", "Said once.", "cell", "code"]
 
 
+SENTENCE = "<p>One, two, three, and a longer sentence, which has, say, many commas, and words.</p>"
+
+
+@pytest.mark.parametrize(
+    ("page", "kept"),
+    [
+        (f"<body><div>{SENTENCE * 3}</div><div>{SENTENCE * 2}</div><div>{SENTENCE * 2}</div></body>", 7),
+        (f"<body><div><section>{SENTENCE}</section><section>{SENTENCE}</section></div><div id=foot><a href=x>One</a></div></body>", 2),
+        (f"<article><p>intro, x</p><section class='alert-systems'>{SENTENCE}</section></article>", 1),
+        (f"<body><div class='article-share'>{SENTENCE * 4}</div><div class=sidebar>{SENTENCE}</div></body>", 4),
+        (f"<body><div><div class='site-header-left'>{SENTENCE}</div>{SENTENCE * 3}<div class='post-comments'>{SENTENCE * 9}</div></div></body>", 3),
+    ],
+)
+def test_sections_and_names(page, kept):
+    assert html_text.main_text(page).count("One") == kept
+
+
+@pytest.mark.parametrize("page", ["<b>" * 80_000 + "<hr>" * 80_000, "<div>" * 80_000 + "</p>" * 80_000, "<a " * 300_000, "<p class='" * 100_000, "<script>" * 120_000, "<p>a " * 80_000, "<table><tr><td>" * 30_000])
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    html_text.main_text(page[: len(page) // 4])
+    quarter = time.perf_counter() - began
+    html_text.main_text(page)
+    assert time.perf_counter() - began - quarter < 12 * quarter + 1.0  # a quadratic reader takes 16 times as long, of seconds
+
+
+def test_points_against_a_plain_walk():
+    """Points and link shares of every element, against a recursive walk over the tree."""
+    rng = np.random.default_rng(4)
+
+    def made(depth):
+        tag = str(rng.choice(["div", "p", "section", "a", "b", "ul", "li", "td"]))
+        inside = "".join(made(depth - 1) if depth and rng.random() < 0.6 else str(rng.choice(["x, y ", "long words " * 20, "z"])) for _ in range(rng.integers(0, 4)))
+        return f"<{tag}>{inside}</{tag}>"
+
+    def letters(node, linked=False):
+        return sum(letters(p, linked or p.tag == "a") if isinstance(p, html_text.Node) else len(" ".join(p.split())) * (1 if linked is not None else 0) for p in node.parts)
+
+    def every(node):
+        return [node, *(x for p in node.parts if isinstance(p, html_text.Node) for x in every(p))]
+
+    def in_links(node):
+        return sum((letters(p) if p.tag == "a" else in_links(p)) for p in node.parts if isinstance(p, html_text.Node))
+
+    for _ in range(150):
+        root = html_text.parse(made(4))
+        html_text.score(root)
+        nodes, want = every(root), Counter()
+        for x in nodes:
+            texts = [" ".join(p.split()) for p in x.parts if isinstance(p, str)]
+            own = sum(map(len, texts)) + sum(letters(p) for p in x.parts if isinstance(p, html_text.Node) and p.tag in html_text.INLINE)
+            up, k = x.parent, 0
+            while x.tag in html_text.PARAGRAPHS and own and up is not None and k < 4:
+                want[id(up)] += (1 + sum(t.count(",") for t in texts) + min(own / 100, 3)) * (1, 1 / 2, 1 / 6, 1 / 9)[k]
+                up, k = up.parent, k + 1
+        for x in nodes:
+            assert x.points == pytest.approx(want[id(x)]) and (x.length, x.linked) == (letters(x), in_links(x))
+
+
 # --- 9: mixing ---------------------------------------------------------------------------------------------------------
 
 
