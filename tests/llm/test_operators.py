@@ -192,6 +192,44 @@ def test_edits_in_stems_and_short_entries():
     assert kinds == {"vilenly": [("vilen", 0)], "vulenly": [("vilen", 1)], "vlenly": [("vilen", 1)], "vileness": [("vileness", 0)], "vulenezz": [("vilen", 1)], "scum": [("scum", 0)], "skum": [("scum", 1)], "skim": []}
 
 
+def test_long_quotations_and_long_words():
+    """A quotation of any length and over lines is one; a mark without a partner is none; a word of a hundred letters is an entry like any other."""
+    long = "vil" * 40
+    lexicon = toxicity.Lexicon([("nasty", False), (long, False)], {("nasty", 0, True): 0.05, ("nasty", 0, False): 0.9})
+    filler = "word\n" * 300
+    assert lexicon.score(f'she read "{filler} nasty {filler}" aloud') < 0.3 < lexicon.score(f'she read "{filler}" and was nasty')
+    assert lexicon.score(f"“{filler}nasty”") < 0.3 and lexicon.score(f"«{filler}» nasty „{filler}“") > 0.3
+    assert lexicon.score('a 5" nasty thing of 6" size') > 0.3
+    assert [m[1:3] for m in lexicon.matches(f"{long} {long[:-1]} {long[:-2]}")] == [(long, 0), (long, 1)]
+
+
+def test_noisy_or_against_a_grid():
+    """Weights of two causes that share documents, against the most likely ones on a grid."""
+    documents = [(["a"], 18, 2), (["a", "b"], 19, 1), (["b"], 2, 18), ([], 3, 97)]
+    (got, leak) = toxicity.noisy_or(documents, {"a": 0.5, "b": 0.5}, 0.1)
+
+    def likelihood(a, b, base):
+        total = 0.0
+        for found, pos, neg in documents:
+            none = (1 - base) * np.prod([1 - {"a": a, "b": b}[c] for c in found])
+            total += pos * np.log(1 - none) + neg * np.log(none)
+        return total
+
+    grid = np.linspace(0.01, 0.99, 50)
+    best = max(((a, b, c) for a in grid for b in grid for c in grid[:10]), key=lambda p: likelihood(*p))
+    assert np.allclose([got["a"], got["b"], leak], best, atol=0.06)
+
+
+def test_toxicity_on_held_out_rows(spark):
+    """Precision and recall of 0.9 each on the labelled rows that weren't learned from."""
+    folder = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").toPandas().set_index("doc_id")
+    got = queries.QUERIES["op3_toxicity"](spark, folder).toPandas().set_index("doc_id").join(labels, how="inner")
+    got = got[got.held_out]
+    right = ((got.predicted == 1) & (got.toxic == 1)).sum()
+    assert right / (got.predicted == 1).sum() >= 0.9 and right / (got.toxic == 1).sum() >= 0.9
+
+
 def test_held_out_accuracy(spark):
     folder = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{folder}/labels.parquet").toPandas().set_index("doc_id")
