@@ -224,6 +224,8 @@ class Lexicon:
     def assess(self, text: str) -> tuple[float, int]:
         """Score, 0 to 1: the noisy-or of the base rate and the kinds of matches, each raised by neighbours in the window; and the number of matches."""
         found = self.matches(text)
+        if not found:
+            return self.base, 0
         best: dict[Kind, float] = {}
         for i, (k, *kind) in enumerate(found):
             w = self.weight(*kind)
