@@ -196,7 +196,7 @@ def test_long_quotations_and_long_words():
     """A quotation of any length and over lines is one; a mark without a partner is none; a word of a hundred letters is an entry like any other."""
     long = "vil" * 40
     lexicon = toxicity.Lexicon([("nasty", False), (long, False)], {("nasty", 0, True): 0.05, ("nasty", 0, False): 0.9})
-    filler = "word\n" * 300
+    filler = ("word\n" * 300).strip()
     assert lexicon.score(f'she read "{filler} nasty {filler}" aloud') < 0.3 < lexicon.score(f'she read "{filler}" and was nasty')
     assert lexicon.score(f"“{filler}nasty”") < 0.3 and lexicon.score(f"«{filler}» nasty „{filler}“") > 0.3
     assert lexicon.score('a 5" nasty thing of 6" size') > 0.3
@@ -243,6 +243,19 @@ def test_held_out_accuracy(spark):
     assert (got.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in got.index]).all()
 
 
+def test_many_languages(spark, monkeypatch):
+    """Buckets are halved as languages grow in number; each language is still told from the others."""
+    monkeypatch.setattr(language, "MODEL_NUMBERS", 1 << 14)
+    rng = np.random.default_rng(8)
+    letters = [chr(c) for c in range(97, 123)]
+    own = {f"l{k:02d}": ["".join(rng.choice(letters, 6)) for _ in range(20)] for k in range(40)}
+    rows = [(i, " ".join(rng.choice(w, 30)), k) for i, (k, w) in enumerate((k, w) for k, w in own.items() for _ in range(5))]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert model.logs.shape == (256, 40)
+    got = language.label(spark.createDataFrame(rows, "doc_id long, text string, lang string"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) >= 0.97 * len(rows)
+
+
 def test_viterbi_against_plain():
     rng = np.random.default_rng(0)
     counts = np.array([0, 5, 1, 9, 0, 3])

@@ -1,7 +1,8 @@
 """Operator 5: languages of texts, and of spans inside them.
 
 Learning. A bounded sample of documents per language (SAMPLE_PER_LANG, those of the smallest hash of doc_id outside the held-out fold)
-gives, for each language, smoothed log shares of hashed letter trigrams (with word ends) and the Unicode scripts its words use.
+gives, for each language, smoothed log shares of hashed letter trigrams (with word ends) and the Unicode scripts its words use. The more languages,
+the fewer buckets a language has (from MODEL_NUMBERS / BUCKETS = 64 languages on), so that any number of them makes a bounded model.
 
 Labelling. Letters form words. A word's script range narrows its candidates to the languages that use that script; the others lose
 SCRIPT_PENALTY. Its scores are the sums of its trigrams' log shares, held within CLIP of the best one. A Viterbi pass over the words
@@ -15,6 +16,7 @@ as output columns are replaced. Null languages aren't learned from.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -26,8 +28,8 @@ from pyspark.sql import types as T
 
 from .common import bounded_batches, fold, mixed, slices, table, texts_of, written
 
-#: Documents learned from, per language; trigram buckets.
-SAMPLE_PER_LANG, BUCKETS = 600, 1 << 16
+#: Documents learned from, per language; trigram buckets at most and at least, and the numbers of a model that buckets of many languages are halved for.
+SAMPLE_PER_LANG, BUCKETS, LEAST_BUCKETS, MODEL_NUMBERS = 600, 1 << 16, 1 << 6, 1 << 22
 #: In nats: the price of a switch, the most a word can tell against a language, the price of a foreign script.
 SWITCH, CLIP, SCRIPT_PENALTY = 9.0, 8.0, 30.0
 #: Scripts by ranges of code points (fixed values of Unicode): Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai, Hangul, kana, Han.
@@ -55,7 +57,7 @@ def words_of(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     return points, np.nonzero(edge == 1)[0], np.nonzero(edge == -1)[0], np.concatenate([[0], np.cumsum(lengths)])
 
 
-def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """Bucket of the trigram around each letter of the words (neighbours outside the word count as a space), and the word of each."""
     sizes = ends - starts
     word = np.repeat(np.arange(len(starts)), sizes)
@@ -66,7 +68,7 @@ def trigrams(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[
     here = low[at].astype(np.uint64)
     before = np.where(at == starts[word], 32, low[np.maximum(at - 1, 0)]).astype(np.uint64)
     after = np.where(at == ends[word] - 1, 32, low[np.minimum(at + 1, len(low) - 1)]).astype(np.uint64)
-    return (mixed(before << np.uint64(42) | here << np.uint64(21) | after) & np.uint64(BUCKETS - 1)).astype(np.int64), word
+    return (mixed(before << np.uint64(42) | here << np.uint64(21) | after) & np.uint64(buckets - 1)).astype(np.int64), word
 
 
 @dataclass
@@ -80,7 +82,7 @@ class Model:
     def word_scores(self, points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         if not len(starts):
             return np.zeros((0, len(self.langs)), np.float32)
-        bucket, _ = trigrams(points, starts, ends)
+        bucket, _ = trigrams(points, starts, ends, len(self.logs))
         sizes = ends - starts
         scores = np.add.reduceat(self.logs[bucket], np.cumsum(sizes) - sizes, axis=0)
         scores -= scores.max(axis=1, keepdims=True)
@@ -101,14 +103,15 @@ class Model:
 def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.ndarray:
     """The best label of each row of scores, where rows first[i] .. first[i] + counts[i] form a sequence; all sequences step together."""
     n = scores.shape[0]
-    came = np.zeros(scores.shape, dtype=np.int16)
-    labels = np.zeros(n, dtype=np.int16)
+    kind = np.int16 if scores.shape[1] < 1 << 15 else np.int32
+    came = np.zeros(scores.shape, dtype=kind)
+    labels = np.zeros(n, dtype=kind)
     if not n:
         return labels
     order = np.argsort(-counts, kind="stable")
     first, counts = first[order], counts[order]
     active = np.searchsorted(-counts, -np.arange(int(counts[0])), side="left")  # sequences longer than t
-    own = np.arange(scores.shape[1], dtype=np.int16)
+    own = np.arange(scores.shape[1], dtype=kind)
     best = np.zeros((int(active[0]), scores.shape[1]), np.float64)
     best[:] = scores[first[: active[0]]]
     for t in range(1, len(active)):
@@ -119,7 +122,7 @@ def viterbi(scores: np.ndarray, first: np.ndarray, counts: np.ndarray) -> np.nda
         stays = old >= switched
         came[rows] = np.where(stays, own, top[:, None])
         best[:k] = np.where(stays, old, switched) + scores[rows]
-    at = best.argmax(axis=1).astype(np.int16)
+    at = best.argmax(axis=1).astype(kind)
     for t in range(len(active) - 1, -1, -1):
         k = int(active[t])
         rows = first[:k] + t
@@ -134,28 +137,29 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int
     spark = docs.sparkSession
     bounded_batches(spark)
     usable = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().limit(10_001).collect()}
-    if len(counts) > 10_000:
-        raise ValueError("more than 10,000 languages")
+    counts = {r[0]: r[1] for r in usable.groupBy(lang).count().collect()}  # as many as there are languages
     if not counts:
         return Model()
     langs = sorted(counts)
+    buckets = BUCKETS
+    while buckets > LEAST_BUCKETS and buckets * len(langs) > MODEL_NUMBERS:
+        buckets //= 2
     # An even share of each language, by hash; the share is what bounds the sample.
-    share = F.create_map(*(x for k in langs for x in (F.lit(k), F.lit(min(1.0, per_lang / counts[k])))))
+    shares = spark.createDataFrame([(k, min(1.0, per_lang / counts[k])) for k in langs], "lang_ string, share_ double")
     unit = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
-    sample = usable.where(unit < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = written(sample.mapInArrow(_counts, "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")), "language").toPandas()
+    sample = usable.join(F.broadcast(shares), F.col(lang) == F.col("lang_")).where(unit < F.col("share_")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
+    rows = written(sample.mapInArrow(functools.partial(_counts, buckets=buckets), "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")), "language").toPandas()
     number = {k: i for i, k in enumerate(langs)}
-    grams, scripts = np.zeros((BUCKETS, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
+    grams, scripts = np.zeros((buckets, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
     column = rows["lang"].map(number).to_numpy()
     for kind, into in ((0, grams), (1, scripts)):
         which = (rows["kind"] == kind).to_numpy()
         into[rows["bucket"].to_numpy()[which], column[which]] = rows["n"].to_numpy()[which]
-    logs = np.log(grams + 0.3) - np.log(grams.sum(axis=0) + 0.3 * BUCKETS)
+    logs = np.log(grams + 0.3) - np.log(grams.sum(axis=0) + 0.3 * buckets)
     return Model(langs, logs.astype(np.float32), scripts >= 0.02 * np.maximum(1, scripts.sum(axis=0)))
 
 
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counts(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """Trigrams (kind 0) and scripts of words (kind 1) of each language in a task."""
     grams: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
@@ -166,7 +170,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b in slices(own, 500_000):
                 points, starts, ends, _ = words_of(own[a:b])
                 if len(starts):
-                    grams[lang] = grams.get(lang, 0) + np.bincount(trigrams(points, starts, ends)[0], minlength=BUCKETS)
+                    grams[lang] = grams.get(lang, 0) + np.bincount(trigrams(points, starts, ends, buckets)[0], minlength=buckets)
                     scripts[lang] = scripts.get(lang, 0) + np.bincount(_SCRIPT[np.minimum(points[starts], 0xFFFF)], minlength=len(SCRIPTS) + 1)
     for kind, found in ((0, grams), (1, scripts)):
         for lang, n in found.items():
@@ -183,7 +187,7 @@ def label(docs: DataFrame, model: Model, text: str = "text", spans: bool = False
     bounded_batches(spark)
     extra = [T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), *([T.StructField("spans", _SPANS)] * spans)]
     kept = docs.drop(*{f.name for f in extra} - {text})
-    sent = spark.sparkContext.broadcast(model)  # BUCKETS x languages floats
+    sent = spark.sparkContext.broadcast(model)  # MODEL_NUMBERS floats, or LEAST_BUCKETS a language
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
