@@ -305,6 +305,80 @@ def test_pieces_of_documents(machine, library, documents):
         assert machine.encode(text).tolist() == library.encode(text)
 
 
+def made_model(path, pieces_, kind, fallback, **spec):
+    """A model file of given pieces and scores."""
+    from sentencepiece import sentencepiece_model_pb2 as pb
+
+    model = pb.ModelProto()
+    model.trainer_spec.model_type = kind
+    model.trainer_spec.byte_fallback = fallback
+    model.normalizer_spec.name = "identity"
+    model.normalizer_spec.add_dummy_prefix = spec.get("prefix", True)
+    model.normalizer_spec.remove_extra_whitespaces = spec.get("extra", False)
+    model.normalizer_spec.escape_whitespaces = True
+    model.pieces.add(piece="<unk>", score=0, type=2)
+    for k in range(256 if fallback else 0):
+        model.pieces.add(piece=f"<0x{k:02X}>", score=0, type=6)
+    for piece, score in pieces_.items():
+        model.pieces.add(piece=piece, score=score, type=1)
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+UNIGRAM = {"▁": -3.0, "a": -2.5, "b": -2.7, "ab": -4.1, "ba": -4.4, "aab": -5.0, "▁a": -3.3, "▁ab": -4.9, "abb": -6.9, "bab": -6.3, "c▁": -9.0, "cc": -1.5}
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+@pytest.mark.parametrize(("prefix", "extra"), [(True, False), (True, True), (False, False), (False, True)])
+def test_unigram_models(tmp_path, fallback, prefix, extra):
+    """A unigram model, where weights decide: the library, and the cheapest of all segmentations."""
+    import itertools
+
+    import sentencepiece
+
+    file = made_model(tmp_path / "uni.model", UNIGRAM, pieces.UNIGRAM, fallback, prefix=prefix, extra=extra)
+    ours, library = pieces.Transducer(file), sentencepiece.SentencePieceProcessor(model_file=file)
+    rng = np.random.default_rng(3)
+    for _ in range(400):
+        text = "".join(rng.choice(list("aabb cé"), rng.integers(0, 9)))
+        ids = ours.encode(text).tolist()
+        assert ids == library.encode(text), text
+        normal = ours.normaliser.apply(text)
+        weights = {p: -w for p, w in UNIGRAM.items()} | {c: 10 - min(UNIGRAM.values()) for c in normal if c not in UNIGRAM}
+        cheapest = float("inf") if normal else 0.0
+        for cuts in itertools.product((0, 1), repeat=max(0, len(normal) - 1)):
+            at = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(normal)]
+            cheapest = min(cheapest, sum(weights.get(normal[a:b], float("inf")) for a, b in zip(at[:-1], at[1:], strict=True)))
+        if fallback:
+            spelled = [ours.names[i] for i in ids]
+            got = sum(weights.get(p, 0.0) for p in spelled if not p.startswith("<0x")) + sum(weights[c] for c in normal if c not in UNIGRAM and c != "c") + sum(weights.get("c", 0.0) for p in spelled if p == "<0x63>")
+            assert got == pytest.approx(cheapest), text
+
+
+@pytest.mark.parametrize("fallback", [False, True])
+def test_merge_models_against_all_segmentations(tmp_path, fallback):
+    """A merge-trained model: of all segmentations into pieces just one has allowed neighbours only, and it is the library's."""
+    import itertools
+
+    import sentencepiece
+
+    vocabulary = ["▁", "a", "b", "ab", "ba", "aa", "aba", "abab", "▁a", "▁ab", "bb", "▁abb", "baa", "bba"]
+    file = made_model(tmp_path / "bpe.model", {p: -float(k) for k, p in enumerate(sorted(vocabulary, key=lambda p: (len(p) > 1, vocabulary.index(p))))}, pieces.BPE, fallback)
+    ours, library = pieces.Transducer(file), sentencepiece.SentencePieceProcessor(model_file=file)
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        text = "".join(rng.choice(list("aabb"), rng.integers(1, 9)))
+        normal = ours.normaliser.apply(text)
+        allowed = []
+        for cuts in itertools.product((0, 1), repeat=len(normal) - 1):
+            at = [0, *(k + 1 for k, c in enumerate(cuts) if c), len(normal)]
+            parts = [normal[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+            if all(p in ours.ids for p in parts) and all(pieces.merge(a + b, ours.scores) == [a, b] for a, b in zip(parts[:-1], parts[1:], strict=True)):
+                allowed.append([ours.ids[p] for p in parts])
+        assert allowed == [ours.encode(text).tolist()] == [library.encode(text)], text
+    assert ours.encode("aé€b").tolist() == library.encode("aé€b")
+
+
 def test_token_counts_equal_the_library(documents):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -1,13 +1,15 @@
 """Operator 6: SentencePiece encoding and decoding as weighted finite-state transduction.
 
-A model file is compiled into three machines: the normaliser (dummy prefix, spaces to the escape mark), an acceptor of the pieces
-(a trie whose arcs carry characters and whose ends carry a piece and its weight, the negated score), and the byte fallback (one path of
-byte pieces for a character that no piece spells). Each input is composed with them, which gives a lattice of pieces over text positions,
-and the cheapest path in the tropical semiring (min, +) is the encoding.
+A model file is compiled into four machines. The normaliser writes the dummy prefix, escapes spaces, and leaves out extra ones where the model asks for it.
+The pieces are a trie whose arcs read characters; the end of a piece is an arc back to the root that writes the piece and weighs its negated
+score. The byte fallback is a loop on characters that no piece spells alone; it writes byte pieces and weighs more than any piece. The neighbours say
+which piece may follow which: a unigram model's have one state and forbid nothing; those of a merge-trained model ("BPE"), which isn't a sum of
+piece weights, have a state for each last piece, and an arc for each pair that merging the pair's own text leaves as it is; every other pair
+weighs infinity. Such arcs are made when first asked for.
 
-A merge-trained model ("BPE") isn't a plain sum of piece weights: a third machine restricts which piece may follow which. A pair may be
-neighbours exactly if merging the pair's own text gives that pair back; every other pair weighs infinity. Under that restriction one path
-is left for a text, so the shortest path is what the library's merging gives. For a unigram model no pair is forbidden.
+Each input is composed with the machines: a lattice whose states are a position in the text and a state of the neighbours, and whose arcs are pieces
+and bytes with their weights. Its cheapest path in the tropical semiring (min, +) is the encoding. Under the neighbours of a merge-trained
+model one path is left for each beginning of a text, and that is what the library's merging gives.
 
 Text is cut into units before composing (a run of spaces with the characters up to the next space; line ends alone when no piece
 holds them). No piece crosses such a cut - that is checked when the model is compiled - so units can be encoded apart, and a bounded cache
@@ -39,7 +41,6 @@ CACHE_UNITS = 500_000
 #: Kinds of pieces in a model file, and of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
-INFINITE = float("inf")
 
 
 def merge(text: str, scores: dict[str, float]) -> list[str]:
@@ -69,38 +70,77 @@ def merge(text: str, scores: dict[str, float]) -> list[str]:
     return [p for p in parts if p is not None]
 
 
+class Machine:
+    """A deterministic transducer on characters: arcs[state] gives the next state and the output for a character; OTHER stands for all without an
+    arc of their own, KEEP in an output for the character itself."""
+
+    OTHER, KEEP = "", "\0"
+
+    def __init__(self, arcs: list[dict[str, tuple[int, str]]], start: int = 0):
+        self.arcs, self.start = arcs, start
+        alone = len(arcs) == 1 and arcs[0].get(self.OTHER) == (0, self.KEEP)
+        self.table = str.maketrans({c: out for c, (_, out) in arcs[0].items() if c}) if alone else None  # one state: the arcs are a table
+
+    def apply(self, text: str) -> str:
+        if self.table is not None:
+            return text.translate(self.table)
+        state, out = self.start, []
+        for c in text:
+            arc = self.arcs[state].get(c) or self.arcs[state][self.OTHER]
+            state = arc[0]
+            out.append(c if arc[1] == self.KEEP else arc[1].replace(self.KEEP, c))
+        return "".join(out)
+
+
+def normaliser(escape: bool, prefix: bool, extra: bool) -> Machine:
+    """Spaces to the escape mark; a mark before the first character; without extra spaces, if asked for: none at the ends, one for each run inside."""
+    other, keep, mark = Machine.OTHER, Machine.KEEP, MARK if escape else " "
+    begin = mark if prefix else ""
+    if not extra:
+        return Machine([{" ": (0, ""), other: (1, begin + keep)}, {" ": (2, ""), other: (1, keep)}, {" ": (2, ""), other: (1, mark + keep)}])
+    if prefix:
+        return Machine([{" ": (1, begin + mark), other: (1, begin + keep)}, {" ": (1, mark), other: (1, keep)}])
+    return Machine([{" ": (0, mark), other: (0, keep)}])
+
+
 class Transducer:
     """The compiled machines of one model file."""
 
+    #: The piece that bytes count as, and the state of neighbours at the start and behind bytes.
+    FREE = -1
+
     def __init__(self, model_file: str):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         model = pb.ModelProto()
         model.ParseFromString(Path(model_file).read_bytes())
         spec = model.normalizer_spec
-        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces:
-            raise ValueError("only the identity normaliser with escaped spaces is supported")
+        if spec.precompiled_charsmap:
+            raise ValueError("a normaliser with a character map is not supported")
         if any(p.type == USER for p in model.pieces):
             raise ValueError("user-defined pieces are not supported")
         self.prefix = spec.add_dummy_prefix
+        self.normaliser = normaliser(spec.escape_whitespaces, spec.add_dummy_prefix, not spec.remove_extra_whitespaces)
         self.bpe = model.trainer_spec.model_type == BPE
         self.names = [p.piece for p in model.pieces]
         self.unknown = next(i for i, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.trie: list = [{}, -1, 0.0]  # a node: arcs by character, the piece that ends here or -1, its cost
+        self.trie: list = [{}, -1, 0.0]  # a node: arcs by character, the piece that ends here or -1, its weight
         for piece, i in self.ids.items():
             node = self.trie
             for c in piece:
                 node = node[0].setdefault(c, [{}, -1, 0.0])
             node[1:] = i, -self.scores[piece]
+        #: What the library adds to the worst score for a character that no piece spells.
+        self.byte_weight = 10.0 - min(self.scores.values(), default=0.0)
         #: Characters that occur side by side in a piece; no piece crosses any other pair of neighbours.
         self.side_by_side = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
-        self.cuts = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.cuts = spec.escape_whitespaces and not any(MARK in p.lstrip(MARK) for p in self.ids)
         line = "" if any("\n" in p for p in self.ids) else "\n"
         self.units = re.compile(f"{MARK}*[^{MARK}{line}]+|\n+|{MARK}+" if line else f"{MARK}*[^{MARK}]+|{MARK}+")
-        self.allowed: dict[int, bool] = {}
+        self.neighbours: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
         self.out = [b""] * len(self.names)
         for piece, i in self.ids.items():
@@ -108,41 +148,40 @@ class Transducer:
         for value, i in self.byte_ids.items():
             self.out[i] = bytes([value])
 
-    def normalise(self, text: str) -> str:
-        return ((" " if self.prefix else "") + text).replace(" ", MARK) if text else ""
-
     def may_follow(self, left: int, right: int) -> bool:
         """Whether merging the two pieces' text gives these two pieces."""
-        if len(self.allowed) > 500_000:
-            self.allowed.clear()
+        if len(self.neighbours) > 500_000:
+            self.neighbours.clear()
         a, b = self.names[left], self.names[right]
-        found = self.allowed[left << 32 | right] = merge(a + b, self.scores) == [a, b]
+        found = self.neighbours[left << 32 | right] = merge(a + b, self.scores) == [a, b]
         return found
 
     def path(self, unit: str) -> list[int]:
-        """Compose with the machines and take the shortest path.
+        """The outputs of the cheapest path through the composition of a unit with the machines.
 
-        A state is a position: the cheapest path to it is kept with its last piece (-1: bytes, or the start). That suffices for a
-        unigram model, and for merges as no position has two paths of allowed pairs.
+        A state is a position of the unit and a state of the neighbours. A unigram model's neighbours have one state; a merge-trained model's
+        have one that can be reached at a position, since each beginning of a text has one path of allowed pairs. So a position's state is
+        its last piece, and its cheapest way there is kept beside it.
         """
-        n, bpe, allowed = len(unit), self.bpe, self.allowed
-        cost, last, came = [INFINITE] * (n + 1), [-1] * (n + 1), [-1] * (n + 1)
+        n, pairs, neighbours, spelled = len(unit), self.bpe, self.neighbours, self.ids
+        infinite = float("inf")
+        cost, last, came = [infinite] * (n + 1), [self.FREE] * (n + 1), [-1] * (n + 1)
         cost[0] = 0.0
         for i in range(n):
-            if (here := cost[i]) == INFINITE:
+            if (here := cost[i]) == infinite:
                 continue
             node, before, j = self.trie, last[i], i
-            while j < n and (node := node[0].get(unit[j])) is not None:
+            while j < n and (node := node[0].get(unit[j])) is not None:  # arcs of the pieces
                 j += 1
                 if (piece := node[1]) >= 0 and (total := here + node[2]) < cost[j]:
-                    if bpe and before >= 0:
-                        if (fits := allowed.get(before << 32 | piece)) is None:
+                    if pairs and before >= 0:  # arcs of the neighbours
+                        if (fits := neighbours.get(before << 32 | piece)) is None:
                             fits = self.may_follow(before, piece)
                         if not fits:
                             continue
                     cost[j], last[j], came[j] = total, piece, i
-            if unit[i] not in self.ids and here < cost[i + 1]:  # no piece spells this character alone: byte fallback
-                cost[i + 1], last[i + 1], came[i + 1] = here, -1, i
+            if unit[i] not in spelled and (total := here + self.byte_weight) < cost[i + 1]:  # the arc of the byte fallback
+                cost[i + 1], last[i + 1], came[i + 1] = total, self.FREE, i
         ids: list[int] = []
         while n > 0:
             i = came[n]
@@ -173,9 +212,13 @@ class Transducer:
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of one text, as int32."""
-        normal = self.normalise(text)
+        normal = self.normaliser.apply(text)
         units = self.units.findall(normal) if self.cuts else [normal] * bool(normal)
-        return np.frombuffer(b"".join(map(self.of_unit, units)), dtype=np.int32)
+        ids = np.frombuffer(b"".join(map(self.of_unit, units)), dtype=np.int32)
+        if not self.byte_ids and len(ids):  # unknown characters side by side are one piece
+            unknown = ids == self.unknown
+            ids = ids[~(unknown & np.concatenate([[False], unknown[:-1]]))]
+        return ids
 
     def decode(self, ids: np.ndarray) -> str:
         """Text of the ids; control and unknown pieces give nothing; bytes that aren't UTF-8 become the replacement character."""
