@@ -29,7 +29,7 @@ def test_equals_sql(spark, folder, sql, name):
     pd.testing.assert_frame_equal(ordered(got), ordered(want), check_dtype=False, rtol=1e-9)
 
 
-@pytest.mark.parametrize(("name", "table", "least"), [("rule_whole_generation", "part", 2), ("rule_whole_chain", "part", 0), ("forget_whole", "events", 0)])
+@pytest.mark.parametrize(("name", "table", "least"), [("rule_same_generation", "part", 2), ("rule_chain", "part", 0), ("forget_facts", "events", 0)])
 def test_whole_tables(spark, folder, name, table, least):
     """Every row of the table is in the result (the two keys without a parent, 0 and 1, have no generation)."""
     assert catalogue.QUERIES[name](spark, folder).count() == spark.read.parquet(f"{folder}/{table}.parquet").count() - least
@@ -37,10 +37,10 @@ def test_whole_tables(spark, folder, name, table, least):
 
 def test_brute_force_on_parts(spark, tmp_path):
     spark.createDataFrame([(k, 1) for k in range(1, 331)], "p_partkey int, p_size int").write.parquet(f"{tmp_path}/part.parquet")
-    chain = {r.x: r.n for r in catalogue.QUERIES["rule_whole_chain"](spark, str(tmp_path)).collect()}
+    chain = {r.x: r.n for r in catalogue.QUERIES["rule_chain"](spark, str(tmp_path)).collect()}
     assert chain == {k: 331 - k for k in range(1, 331)}
     levels = [k.bit_length() for k in range(2, 331)]
-    same = {r.x: r.n for r in catalogue.QUERIES["rule_whole_generation"](spark, str(tmp_path)).collect()}
+    same = {r.x: r.n for r in catalogue.QUERIES["rule_same_generation"](spark, str(tmp_path)).collect()}
     assert same == {k: levels.count(k.bit_length()) for k in range(2, 331)}
 
 

@@ -25,6 +25,7 @@ from .plans import ast
 from .plans.parser import AGGREGATES, BINARY, TYPE_TESTS, WINDOWS, parse
 from .sources.log import SCHEMA, MemoryLog, ParquetLog, export, identity, value_row
 from .sources.relations import Relation
+from .sources.scratch import written
 
 
 @dataclass(frozen=True)
@@ -125,7 +126,7 @@ class Engine:
             context = replace(context, derived=derive(context, self.rules, q.where, base, q.max_derived))
         needed = {v for f in q.find for v in ast.variables(f)} | set(q.grouped_with)
         out = finished(conjunction(context, q.where, None, needed), q, self.aggregates)
-        if q.max_results is not None and len(out.limit(q.max_results + 1).collect()) > q.max_results:
+        if q.max_results is not None and out.limit(q.max_results + 1).count() > q.max_results:
             raise DatalogError(f"the query has more than {q.max_results} results")
         return out
 
@@ -206,10 +207,10 @@ class Engine:
         """A bulk commit of a DataFrame e, a, v (the log's value struct), and optionally valid_from and valid_to."""
         with self._lock:
             tx, ms = self._next()
-            add = {"tx_id": F.lit(ms), "tx_count": F.lit(tx), "asserted": F.lit(True), "seq": F.lit(0).cast("long")}
+            add = {"tx_id": F.lit(ms), "tx_count": F.lit(tx), "asserted": F.lit(True)}
             add |= {c: F.lit(d).cast("long") for c, d in (("valid_from", ms), ("valid_to", FOREVER)) if c not in facts.columns}
-            df = facts.withColumns(add).select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA.fields)).dropDuplicates()
-            self._log().append_frame(df, tx)
+            df = facts.withColumns(add).select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA.fields if f.name != "seq")).dropDuplicates()
+            self._log().append_frame(df.withColumn("seq", F.monotonically_increasing_id()), tx)  # the order is fixed once it is written
         return Receipt("transacted", ms, tx)
 
     def forget(self, command: ast.Forget) -> Receipt:
@@ -227,19 +228,26 @@ class Engine:
                 triples = self.spark.createDataFrame([(_entity(f.e), f.a, value_row(f.v)) for f in command.facts], T.StructType([SCHEMA["e"], SCHEMA["a"], SCHEMA["v"]]))
             triples = triples.withColumn("vkey", identity()).select("e", "a", "vkey").distinct()
             held = windows.where((F.col("valid_from") <= at) & (F.col("valid_to") > at)).join(triples, ["e", "a", "vkey"], "left_semi")
-            rows = [(r.e, r.a, tuple(r.v), r.valid_from, r.valid_to) for r in held.orderBy("e", "a", "vkey", "valid_from", "valid_to").toLocalIterator()]
-            if not rows:
+            held = written(held.select("e", "a", "v", "vkey", "valid_from", "valid_to"), "forgotten")
+            n = held.select("e", "a", "vkey").distinct().count()
+            if not n:
                 return Receipt("forgotten", None, head, 0)
             tx, ms = self._next()
-            out = [(e, a, v, ms, tx, f, t, False) for e, a, v, f, t in rows]
-            out += list(dict.fromkeys((e, a, v, ms, tx, f, at, True) for e, a, v, f, _ in rows if f < at))
-            self._log().append([(*r, k) for k, r in enumerate(out)], tx)
-            return Receipt("forgotten", ms, tx, len({r[:3] for r in rows}))
+            stamp = {"tx_id": F.lit(ms), "tx_count": F.lit(tx)}
+            closed = held.withColumns(stamp | {"asserted": F.lit(False)})
+            left = held.where(F.col("valid_from") < at).dropDuplicates(["e", "a", "vkey", "valid_from"]).withColumns(stamp | {"asserted": F.lit(True), "valid_to": F.lit(at)})
+            both = closed.unionByName(left).withColumn("seq", F.monotonically_increasing_id())
+            self._log().append_frame(both.select(*(F.col(f.name).cast(f.dataType) for f in SCHEMA.fields)), tx)
+            return Receipt("forgotten", ms, tx, n)
 
     def compact(self, partitions: int = 8) -> bool:
         """Rewrite a folder's commits as one, sorted for scans by attribute and entity; whether there was anything to do."""
         return self._log().compact(partitions) if isinstance(self.log, ParquetLog) else False
 
+    def vacuum(self) -> int:
+        """Delete what compaction covered, when no older reader or stream runs; how many folders went."""
+        return self._log().vacuum() if isinstance(self.log, ParquetLog) else 0
+
     def backup(self, path: str) -> int:
         """Copy the committed log to a fresh folder; the last transaction that it holds."""
         if not isinstance(self.log, ParquetLog):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,9 +41,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(at)
 
 
+def claimed(spark: SparkSession, path: str, stale_ms: int, used: Callable[[], bool]) -> bool:
+    """Make an empty file that one caller only can make. One that is older than stale_ms, and that used() says nothing came of, is given away again."""
+    at, fs = _at(spark, path)
+    fs.mkdirs(at.getParent())
+    if not fs.createNewFile(at):
+        age = spark.sparkContext._jvm.System.currentTimeMillis() - fs.getFileStatus(at).getModificationTime()
+        if age < stale_ms or used() or not fs.delete(at, False) or not fs.createNewFile(at):
+            return False
+    return not used()
+
+
 def rename(spark: SparkSession, old: str, new: str) -> None:
     """Move a folder to a name that must be free."""
     (a, fs), (b, _) = _at(spark, old), _at(spark, new)
+    fs.mkdirs(b.getParent())
     if fs.exists(b) or not fs.rename(a, b):
         raise FileExistsError(f"{new} can't be published")
 
