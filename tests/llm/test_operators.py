@@ -130,6 +130,41 @@ def test_linked_pairs_inside_a_crowd(spark, monkeypatch):
     assert len(links) == 150 and got == closure(sets, links)
 
 
+def test_a_crowd_just_below_the_threshold(spark):
+    """2,000 documents of one template, alike by 0.77 at least, in 1,000 linked pairs; no limit is lowered here."""
+    rng = np.random.default_rng(12)
+    template = [f"t{k}" for k in range(200)]
+    rows = []
+    for k in range(1000):
+        own = list(template)
+        for j, at in enumerate(rng.choice(np.arange(3, 197, 8), 6, replace=False)):
+            own[at] = f"o{k}x{j}"
+        twin = list(own)
+        for j, at in enumerate(rng.choice(np.arange(7, 197, 8), 5, replace=False)):
+            twin[at] = f"p{k}x{j}"
+        rows += [(k, " ".join(own)), (5000 + k, " ".join(twin))]
+    sets = {i: shingles(t, 4) for i, t in rows}
+    names = sorted({x for s in sets.values() for x in s})
+    number = {x: k for k, x in enumerate(names)}
+    held = np.zeros((len(rows), len(names)), dtype=np.float32)
+    for k, (i, _) in enumerate(rows):
+        held[k, [number[x] for x in sets[i]]] = 1
+    both, size = held @ held.T, held.sum(axis=1)
+    near = 100 * both >= 80 * (size[:, None] + size[None, :] - both)
+    links = [(rows[a][0], rows[b][0]) for a, b in zip(*np.nonzero(np.triu(near, 1)), strict=True)]
+    assert len(links) >= 900
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()}
+    assert got == closure(sets, links)
+
+
+def test_rows_of_one_doc_id_with_different_texts(spark):
+    """Each row is linked by its own set; a component is named by the smallest doc_id among its rows."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (1, b), (1, b), (2, b + " more"), (3, c), (1, c + " more"), (4, a + " more"), (5, "alone in this table here")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=4).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == [(1, 37, 1), (1, 37, 1), (1, 37, 1), (1, 38, 1), (2, 38, 1), (3, 37, 1), (4, 38, 1), (5, 2, 5)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(TEXTS, max_size=4), st.integers(1, 5))
 def test_shingle_sets(texts, n):
@@ -515,7 +550,8 @@ def test_mixing_rates(spark):
     assert (out.groupby("doc_id")["copy"].max() == out.groupby("doc_id")["repeats"].max()).all()
     assert out.equals(mixing.mix(df.orderBy("text", "doc_id"), {"a": 1.0, "b": 3.0}).toPandas()[out.columns]) or set(out.mix_key) == set(mixing.mix(df, {"a": 1.0, "b": 3.0}).toPandas().mix_key)
     tiny = df.where("doc_id < 100").unionByName(spark.createDataFrame([(-1, "c", "")], df.schema))
-    assert 50 < mixing.mix(tiny, {"c": 1.0}).count() < 150  # held at MOST_REPEATS
+    assert 50 < mixing.mix(tiny, {"c": 1.0}, most=100.0).count() < 150  # held at what the caller says
+    assert 850 < mixing.mix(tiny, {"c": 1.0}).count() < 1150  # not held: 100 texts of 9 characters and one for each are 1,000 empty ones
 
 
 def test_small_sources_reach_their_weight(spark, tmp_path, monkeypatch):

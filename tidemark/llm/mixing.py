@@ -8,8 +8,8 @@ md5(seed:mix:doc_id:copy), a random global order that is the same on every run.
 Shares count a text's characters plus one. Without explicit weights a source's target is its size to the power of `exponent` (0.5 flattens,
 1 keeps). Given weights are relative; sources that aren't named get none. Null sources are the source ''. Null texts count as empty. Rows
 of equal doc_id are copied alike, null ids as the id ''. An empty table gives an empty result. Other columns are kept; copy, repeats, rate and mix_key are
-added, and replaced where they clash. mix() holds rates at `most` (MOST_REPEATS unless told otherwise); with None, as in the query and the pipeline,
-a small source gets as many copies as its target asks for. Cumulative tables begin 12 standard deviations below large rates (FAR_RATE), where
+added, and replaced where they clash. A small source gets as many copies as its target asks for, unless a caller
+holds rates at `most`. Cumulative tables begin 12 standard deviations below large rates (FAR_RATE), where
 less than 1e-20 of the copies' distribution is left out, and more than COPIES_IN_A_TASK copies of one document are dealt over tasks.
 
 Rates are joined by broadcast while the cumulative tables have at most BROADCAST_ROWS numbers; beyond, by a join on source and a salt, so
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-MOST_REPEATS, BROADCAST_ROWS, SALTS = 100.0, 1_000_000, 64
+BROADCAST_ROWS, SALTS = 1_000_000, 64
 FAR_RATE, COPIES_IN_A_TASK = 400.0, 10_000
 SEED = "tidemark"
 ADDED = ("copy", "repeats", "rate", "mix_key")
@@ -36,7 +36,7 @@ def _uniform(key: Column) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
-def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, source: str = "source", text: str = "text", most: float | None = MOST_REPEATS) -> DataFrame:
+def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, source: str = "source", text: str = "text", most: float | None = None) -> DataFrame:
     """source, rate: the mean number of copies of each source's documents."""
     sized = docs.groupBy(F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source")).agg(F.sum(F.length(F.coalesce(text, F.lit(""))) + 1).alias("chars"))
     if weights is None:
@@ -54,7 +54,7 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, exponent: fl
     return sized.select("source", (rate if most is None else F.least(rate, F.lit(most))).alias("rate"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: str = SEED, source: str = "source", text: str = "text", most: float | None = MOST_REPEATS) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: float = 0.5, seed: str = SEED, source: str = "source", text: str = "text", most: float | None = None) -> DataFrame:
     """docs replicated to the weights in a random global order, with copy (from 1), repeats, rate and mix_key."""
     docs = docs.drop(*ADDED)
     found = rates(docs, weights, exponent, source, text, most)
@@ -92,7 +92,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, exponent: floa
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, source, copy, repeats, rate, mix_key, and the md5 of the text that was carried along, of every copy."""
-    mixed = mix(table(spark, sf_dir, "documents"), most=None)
+    mixed = mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "source", "copy", "repeats", F.round("rate", 9).alias("rate"), "mix_key", F.md5("text").alias("text_md5"))
 
 
@@ -100,7 +100,7 @@ OP9_SQL = """
 WITH sized AS (
   SELECT coalesce(source, '') AS src, sum(length(coalesce(text, '')) + 1)::DOUBLE AS chars FROM documents GROUP BY 1),
 rated AS (
-  SELECT src, least(100.0, pow(chars, 0.5) / (SELECT sum(pow(chars, 0.5)) FROM sized) * (SELECT sum(chars) FROM sized) / chars) AS rate FROM sized),
+  SELECT src, pow(chars, 0.5) / (SELECT sum(pow(chars, 0.5)) FROM sized) * (SELECT sum(chars) FROM sized) / chars AS rate FROM sized),
 terms AS (
   SELECT src, rate, j, exp(-rate + j * ln(rate) - lgamma(j + 1)) AS p
   FROM rated, unnest(generate_series(0, CAST(ceil(rate + 12 * sqrt(rate) + 20) AS BIGINT))) AS t(j)),
