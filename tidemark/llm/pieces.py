@@ -78,14 +78,15 @@ class Machine:
 
     def __init__(self, arcs: list[dict[str, tuple[int, str]]], start: int = 0):
         self.arcs, self.start = arcs, start
-        alone = len(arcs) == 1 and arcs[0].get(self.OTHER) == (0, self.KEEP)
-        self.table = str.maketrans({c: out for c, (_, out) in arcs[0].items() if c}) if alone else None  # one state: the arcs are a table
+        #: For states that no arc leaves: their arcs as a table.
+        self.tables = [str.maketrans({c: out for c, (_, out) in of.items() if c}) if all(to == k for to, _ in of.values()) and of[self.OTHER][1] == self.KEEP else None for k, of in enumerate(arcs)]
 
     def apply(self, text: str) -> str:
-        if self.table is not None:
-            return text.translate(self.table)
         state, out = self.start, []
-        for c in text:
+        for i, c in enumerate(text):
+            if self.tables[state] is not None:
+                out.append(text[i:].translate(self.tables[state]))
+                break
             arc = self.arcs[state].get(c) or self.arcs[state][self.OTHER]
             state = arc[0]
             out.append(c if arc[1] == self.KEEP else arc[1].replace(self.KEEP, c))
