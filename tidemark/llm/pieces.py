@@ -38,6 +38,8 @@ from .common import bounded_batches, slices, table, texts_of
 MARK = "▁"
 #: Units that one worker keeps; the cache starts anew when it is full.
 CACHE_UNITS = 500_000
+#: Characters of a unit that is composed at once, without looking for further cuts.
+SHORT_UNIT = 24
 #: Kinds of pieces in a model file, and of models.
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
@@ -206,7 +208,7 @@ class Transducer:
         found = self.cache.get(unit)
         if found is not None:
             return found
-        cut = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.side_by_side]
+        cut = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.side_by_side] if len(unit) > SHORT_UNIT else []
         if cut:
             return self.kept(unit, b"".join(self.of_unit(unit[a:b]) for a, b in zip([0, *cut], [*cut, len(unit)], strict=True)))
         return self.kept(unit, np.array(self.path(unit), dtype=np.int32).tobytes())
