@@ -24,6 +24,7 @@ from __future__ import annotations
 import functools
 import heapq
 import re
+from array import array
 from collections.abc import Iterator
 from pathlib import Path
 
@@ -45,8 +46,8 @@ NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
 UNIGRAM, BPE = 1, 2
 
 
-def merge(text: str, scores: dict[str, float]) -> list[str]:
-    """The best-scored neighbours merge first, the leftmost of equals, until none can."""
+def merge(text: str, scores: dict[str, float], border: int = 0) -> list[str]:
+    """The best-scored neighbours merge first, the leftmost of equals, until none can. A merge across the border, if one is given, ends it: no parts."""
     parts: list[str | None] = list(text)
     after = list(range(1, len(parts) + 1))
     before = list(range(-1, len(parts) - 1))
@@ -63,6 +64,8 @@ def merge(text: str, scores: dict[str, float]) -> list[str]:
         j = after[i] if parts[i] is not None else len(parts)
         if j >= len(parts) or parts[j] is None or parts[i] + parts[j] != joined:
             continue
+        if i < border < i + len(joined):
+            return []
         parts[i], parts[j] = joined, None
         after[i] = after[j]
         if after[j] < len(parts):
@@ -80,14 +83,20 @@ class Machine:
 
     def __init__(self, arcs: list[dict[str, tuple[int, str]]], start: int = 0):
         self.arcs, self.start = arcs, start
-        #: For states that no arc leaves: their arcs as a table.
-        self.tables = [str.maketrans({c: out for c, (_, out) in of.items() if c}) if all(to == k for to, _ in of.values()) and of[self.OTHER][1] == self.KEEP else None for k, of in enumerate(arcs)]
+        #: For states that no arc leaves and that write all but one character as it is: that character and its output.
+        self.loops = [self.loop(k) for k in range(len(arcs))]
+
+    def loop(self, state: int) -> tuple[str, str] | None:
+        of = self.arcs[state]
+        changed = [(c, out) for c, (_, out) in of.items() if c != self.OTHER]
+        stays = all(to == state for to, _ in of.values()) and of[self.OTHER][1] == self.KEEP
+        return changed[0] if stays and len(changed) == 1 and self.KEEP not in changed[0][1] else None
 
     def apply(self, text: str) -> str:
         state, out = self.start, []
         for i, c in enumerate(text):
-            if self.tables[state] is not None:
-                out.append(text[i:].translate(self.tables[state]))
+            if (loop := self.loops[state]) is not None:
+                out.append(text[i:].replace(*loop))
                 break
             arc = self.arcs[state].get(c) or self.arcs[state][self.OTHER]
             state = arc[0]
@@ -130,12 +139,14 @@ class Transducer:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         self.scores = {p.piece: p.score for p in model.pieces if p.type == NORMAL}
         self.byte_ids = {int(p.piece[1:-1], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
-        self.trie: list = [{}, -1, 0.0]  # a node: arcs by character, the piece that ends here or -1, its weight
+        self.trie: dict[str, list] = {}  # by character: the arcs behind it, the piece that ends here or -1, its weight
         for piece, i in self.ids.items():
-            node = self.trie
+            arcs, arc = self.trie, None
             for c in piece:
-                node = node[0].setdefault(c, [{}, -1, 0.0])
-            node[1:] = i, -self.scores[piece]
+                arc = arcs.setdefault(c, [{}, -1, 0.0])
+                arcs = arc[0]
+            if arc is not None:
+                arc[1:] = i, -self.scores[piece]
         #: What the library adds to the worst score for a character that no piece spells.
         self.byte_weight = 10.0 - min(self.scores.values(), default=0.0)
         #: Characters that occur side by side in a piece; no piece crosses any other pair of neighbours.
@@ -156,7 +167,7 @@ class Transducer:
         if len(self.neighbours) > 500_000:
             self.neighbours.clear()
         a, b = self.names[left], self.names[right]
-        found = self.neighbours[left << 32 | right] = merge(a + b, self.scores) == [a, b]
+        found = self.neighbours[left << 32 | right] = merge(a + b, self.scores, len(a)) == [a, b]
         return found
 
     def path(self, unit: str) -> list[int]:
@@ -173,10 +184,11 @@ class Transducer:
         for i in range(n):
             if (here := cost[i]) == infinite:
                 continue
-            node, before, j = self.trie, last[i], i
-            while j < n and (node := node[0].get(unit[j])) is not None:  # arcs of the pieces
+            arcs, before, j = self.trie, last[i], i
+            while j < n and (arc := arcs.get(unit[j])) is not None:  # arcs of the pieces
+                arcs, piece, weight = arc
                 j += 1
-                if (piece := node[1]) >= 0 and (total := here + node[2]) < cost[j]:
+                if piece >= 0 and (total := here + weight) < cost[j]:
                     if pairs and before >= 0:  # arcs of the neighbours
                         if (fits := neighbours.get(before << 32 | piece)) is None:
                             fits = self.may_follow(before, piece)
@@ -211,7 +223,7 @@ class Transducer:
         cut = [k for k in range(1, len(unit)) if unit[k - 1 : k + 1] not in self.side_by_side] if len(unit) > SHORT_UNIT else []
         if cut:
             return self.kept(unit, b"".join(self.of_unit(unit[a:b]) for a, b in zip([0, *cut], [*cut, len(unit)], strict=True)))
-        return self.kept(unit, np.array(self.path(unit), dtype=np.int32).tobytes())
+        return self.kept(unit, array("i", self.path(unit)).tobytes())
 
     def encode(self, text: str) -> np.ndarray:
         """Piece ids of one text, as int32."""
