@@ -18,6 +18,7 @@ from .functions.times import ALL_TIME, FOREVER, millis, now, text_of
 from .functions.values import TAGS, Val, boxed, entity_id, node
 from .operators import temporal
 from .operators.clauses import Context, X, Y, conjunction
+from .operators.counts import counted
 from .operators.frames import Frame
 from .operators.results import UserAggregate, finished
 from .operators.rules import calls, derive, strata
@@ -112,7 +113,7 @@ class Engine:
         at = None if q.any_valid_time else millis(q.valid_at) if isinstance(q.valid_at, str) else q.valid_at if q.valid_at is not None else instant if instant is not None else max(self.clock(), floor)
         facts = self._reducer(q.as_of, at, log) if self.log is not None or log is not None else None
         context = Context(self.relations, facts, q.any_valid_time, at, predicates=self.predicates)
-        names = calls(q.where)
+        names, out = calls(q.where), None
         if self.rules and (names & set(self.rules) or any(isinstance(c, ast.Pattern) and isinstance(c.a, Var) for c in q.where)):
 
             def base(name: str) -> Frame | None:
@@ -123,9 +124,12 @@ class Engine:
                 body = (ast.Pattern(X, Const("kw", a), Y if arity == 2 else Var("?_")),)
                 return conjunction(context, body, None, {X, Y}).project([X, Y][:arity], distinct=True)
 
-            context = replace(context, derived=derive(context, self.rules, q.where, base, q.max_derived))
-        needed = {v for f in q.find for v in ast.variables(f)} | set(q.grouped_with)
-        out = finished(conjunction(context, q.where, None, needed), q, self.aggregates)
+            out = counted(context, self.rules, q, base)
+            if out is None:
+                context = replace(context, derived=derive(context, self.rules, q.where, base, q.max_derived))
+        if out is None:
+            needed = {v for f in q.find for v in ast.variables(f)} | set(q.grouped_with)
+            out = finished(conjunction(context, q.where, None, needed), q, self.aggregates)
         if q.max_results is not None and out.limit(q.max_results + 1).count() > q.max_results:
             raise DatalogError(f"the query has more than {q.max_results} results")
         return out

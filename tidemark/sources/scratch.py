@@ -36,6 +36,14 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Delete what written() wrote for df, when nothing reads it any more."""
+    for file in df.inputFiles()[:1]:
+        at, fs = _at(df.sparkSession, file)
+        if at.getParent().getName().startswith("tidemark-"):
+            fs.delete(at.getParent(), True)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     at, fs = _at(spark, path)
     return fs.exists(at)
