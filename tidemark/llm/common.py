@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 #: Rows that one Arrow batch may hold on its way to Python; texts are long, so the default of 10,000 is too many.
 ARROW_ROWS = 512
+#: Files at most of a table that a bounded sample gives, however many partitions the session's shuffles have.
+SAMPLE_PARTS = 12
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

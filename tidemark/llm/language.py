@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fold, mixed, slices, table, texts_of, written
+from .common import SAMPLE_PARTS, bounded_batches, fold, mixed, slices, table, texts_of, written
 
 #: Documents learned from, per language; trigram buckets at most and at least, and the numbers of a model that buckets of many languages are halved for.
 SAMPLE_PER_LANG, BUCKETS, LEAST_BUCKETS, MODEL_NUMBERS = 600, 1 << 16, 1 << 6, 1 << 22
@@ -148,7 +148,7 @@ def learn(docs: DataFrame, lang: str = "lang", text: str = "text", per_lang: int
     shares = spark.createDataFrame([(k, min(1.0, per_lang / counts[k])) for k in langs], "lang_ string, share_ double")
     unit = (F.pmod(F.xxhash64(F.coalesce(F.col("doc_id"), F.lit(0)), F.lit(5)), F.lit(1 << 30)) / float(1 << 30)).cast("double")
     sample = usable.join(F.broadcast(shares), F.col(lang) == F.col("lang_")).where(unit < F.col("share_")).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
-    rows = written(sample.mapInArrow(functools.partial(_counts, buckets=buckets), "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")), "language").toPandas()
+    rows = written(sample.mapInArrow(functools.partial(_counts, buckets=buckets), "lang string, kind int, bucket int, n long").groupBy("lang", "kind", "bucket").agg(F.sum("n").alias("n")).coalesce(SAMPLE_PARTS), "language").toPandas()
     number = {k: i for i, k in enumerate(langs)}
     grams, scripts = np.zeros((buckets, len(langs))), np.zeros((len(SCRIPTS) + 1, len(langs)))
     column = rows["lang"].map(number).to_numpy()

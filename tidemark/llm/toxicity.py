@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bounded_batches, fold, sampled_ids, table, texts_of, written
+from .common import SAMPLE_PARTS, bounded_batches, fold, sampled_ids, table, texts_of, written
 
 #: Labelled rows that are learned from at most.
 SAMPLE_ROWS = 20_000
@@ -282,11 +282,11 @@ def learn(labelled: DataFrame) -> Lexicon:
     n_pos, n_neg = totals.get(True, 0), totals.get(False, 0)
     if not n_pos:
         return Lexicon()
-    counts = written(sample.mapInArrow(_feature_counts, _FEATURES).groupBy("stem", "word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 1 and neg <= pos"), "toxic-counts")
+    counts = written(sample.mapInArrow(_feature_counts, _FEATURES).groupBy("stem", "word").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")).where("pos >= 1 and neg <= pos").coalesce(SAMPLE_PARTS), "toxic-counts")
     least = max(LEAST_DOCS, int(LEAST_SHARE * n_pos))
     lift = (F.col("pos") + 0.5) / (F.col("neg") + 0.5) * ((n_neg + 1.0) / (n_pos + 1.0))
     good = counts.where((F.col("pos") >= least) & (lift >= LEAST_LIFT)).withColumn("lift", lift)
-    before = written(sample.where("toxic = 1").mapInArrow(_words_before, "word string, prior string").distinct(), "toxic-contexts")
+    before = written(sample.where("toxic = 1").mapInArrow(_words_before, "word string, prior string").distinct().coalesce(SAMPLE_PARTS), "toxic-contexts")
     contexts = before.groupBy("word").agg(F.count("*").alias("contexts"))
     # A stem explains several words that stand in toxic documents alone, none of which makes up most of it.
     begun = counts.where("not stem and neg = 0").select("word", "pos", F.explode(F.array_distinct(F.array(*(F.substring("word", 1, n) for n in STEM_LETTERS)))).alias("stem_of"))
